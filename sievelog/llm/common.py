@@ -87,7 +87,7 @@ def merged(spans: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         joins = (F.size(acc) > 0) & (x["start"] <= last["end"])
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))

@@ -14,6 +14,21 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    q = judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, listed, with_spans
+
+    held = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return held.select("doc_id", *[count(k) for k in BASE], F.sha2(listed(F.col("found"), BASE), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     from .tokens import default_vocabulary
