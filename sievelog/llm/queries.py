@@ -37,6 +37,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("key", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, scored
+
+    docs = table(spark, sf_dir, "documents")
+    got = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
     from .tokens import default_vocabulary
