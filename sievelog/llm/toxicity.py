@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: dict[int, int] | None = Non
     posterior, _ = label_model(votes, start, (2 * y - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)))
     # each voter alone, with its cautious precision by the posterior: one sure voter shall be enough
     yes, no = posterior @ votes, (1 - posterior) @ votes
-    weights, bias = linear(np.vstack([votes, np.eye(len(voters), dtype=np.float32)]), np.concatenate([posterior, (yes + 0.5) / (yes + no + 5)]))
+    weights, bias = linear(np.vstack([votes, np.eye(len(voters), dtype=np.float32)]), np.concatenate([posterior, (yes + 0.5) / (yes + no + 8)]))
     return Model({f: float(w) for f, w in zip(voters, weights)} | {f: SEED_WEIGHT for f in seeds if f not in voters}, bias)
 
 
