@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from .common import new_dir, table
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    got = nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+    return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
