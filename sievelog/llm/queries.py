@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import new_dir, table
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import deduplicated
+
+    got = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return got.select("doc_id", F.size("removed_spans").cast("long").alias("n_removed"), spans.alias("removed"), "text")
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
