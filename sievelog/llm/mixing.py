@@ -4,7 +4,7 @@ Every unit gets whole copies and a fraction of one; the fractions are inclusion
 probabilities. The flight phase moves them three units at a time along the
 null space of two constraints (units chosen, words chosen), so both totals of a
 source stay exact until at most two units of it are fractional; the landing
-phase decides those and may swap one unit for another of a fitting length. Flights run over chunks of a source, then over what the
+phase decides those and may swap a few units for others of a fitting length. Flights run over chunks of a source, then over what the
 chunks leave, level by level, so no task ever holds a source.
 
 Defined cases: a null text has size 0; null is a source of its own, last in
@@ -29,6 +29,8 @@ CAP = 3.0
 CHUNK = 4096
 #: Leavings of so many chunks (two each at most) make the next flight.
 FAN_IN = 1024
+#: Swaps that a landing may make.
+MAX_SWAPS = 8
 #: Sources are broadcast only up to this number.
 BROADCAST_SOURCES = 20_000
 _EPS = 1e-9
@@ -106,14 +108,15 @@ def _flight(pdf: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
         best = min(ways, key=lambda w: (abs(sum(x * size[k] for x, k in zip(w, active)) - due), w))
         for k, x in zip(active, best):
             pi[k] = float(x)
-    if last:
-        _swap(pi, size, due_words)
+    swaps = 0
+    while last and swaps < MAX_SWAPS and _swap(pi, size, due_words):
+        swaps += 1
     pdf["pi"] = pi
     return pdf
 
 
-def _swap(pi: list[float], size: list[float], due: float) -> None:
-    """Changes one chosen unit for one left out where that brings the words nearer to those due; the number of units stays."""
+def _swap(pi: list[float], size: list[float], due: float) -> bool:
+    """Changes one chosen unit for one left out if that brings the words nearer to those due; the number of units stays."""
     lack = due - sum(p * w for p, w in zip(pi, size))
     left = sorted((w, k) for k, (p, w) in enumerate(zip(pi, size)) if p == 0 and w)
     best = (abs(lack), -1, -1)
@@ -124,6 +127,7 @@ def _swap(pi: list[float], size: list[float], due: float) -> None:
                 best = min(best, (abs(lack - (w2 - w)), k, k2))
     if best[1] >= 0:
         pi[best[1]], pi[best[2]] = 0.0, 1.0
+    return best[1] >= 0
 
 
 def _flown(df: DataFrame, last: bool, seed: int) -> DataFrame:
