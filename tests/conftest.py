@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints"))).config("spark.ui.showConsoleProgress", "false").config("spark.sql.maxMetadataStringLength", "4000").getOrCreate()
     )
     session.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
     session.sparkContext.setLogLevel("ERROR")
