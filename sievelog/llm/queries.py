@@ -39,7 +39,7 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
     q = judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
-    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,22 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_QUALITY_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as t, row_number() over () as row_no from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+grams as (select row_no, i, array_to_string(ws[i:i + 4], ' ') as g from (select row_no, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)),
+twice as (select row_no, i from (select *, count(*) over (partition by row_no, g) as n from grams) where n > 1),
+covered as (select row_no, count(distinct i + k) as n from twice, (select unnest(range(5)) as k) group by row_no),
+m as (select w.row_no, doc_id, t, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+  from w left join covered c using (row_no)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or 2 * len(regexp_extract_all(t, '\pL')) < word_chars or 10 * len(regexp_extract_all(t, '[0-9]')) > 3 * word_chars or regexp_matches(t, '[^\x20\x09-\x0D]{1000}')) as kept
+from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_cascade": _QUALITY_SQL}
