@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, vocabulary: str, *, context: int = CONTEXT, end_id:
         enc = encoder(vocabulary, spaces_join=True)
         for pdf in batches:
             rows = []
-            for k, t in zip(pdf["key"], pdf["text"]):
-                ids = enc.encode(t or "") + end
+            for k, ids in zip(pdf["key"], enc.encode_all([t or "" for t in pdf["text"]])):
+                ids += end
                 n, at, i = len(ids) // 4, 0, 0
                 while at < n:
                     length = min(context, n) if at or n <= context else (n % context or context)

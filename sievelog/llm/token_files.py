@@ -65,7 +65,7 @@ def _sample(docs: DataFrame, text: str, n: int) -> list[str]:
 def train_dictionary(docs: DataFrame, vocabulary: str, text: str = "text") -> bytes:
     """b"" where there is too little to learn from."""
     enc = encoder(vocabulary, spaces_join=False)
-    parts = [enc.encode(t)[: 4 * SAMPLE_IDS] for t in _sample(docs, text, SAMPLE_DOCS)]
+    parts = [x[: 4 * SAMPLE_IDS] for x in enc.encode_all(_sample(docs, text, SAMPLE_DOCS))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in parts if x], level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -90,7 +90,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, shard_doc
         enc = encoder(vocabulary, spaces_join=False)
         press = zstandard.ZstdCompressor(level=LEVEL, **_codec(sent.value))
         for pdf in batches:
-            ids = [enc.encode(t or "") + end for t in pdf["text"]]
+            ids = [x + end for x in enc.encode_all([t or "" for t in pdf["text"]])]
             yield pd.DataFrame({"key": pdf["key"].astype("Int64"), "ids": [len(x) // 4 for x in ids], "data": [press.compress(x) for x in ids]})
 
     pressed = stage(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(squeeze, "key long, ids long, data binary"), "token-files")

@@ -2,19 +2,25 @@
 
 Both vocabularies split a text into words before they merge inside them, so the
 ids of a text are those of its pieces between ASCII spaces, in order. Pieces
-recur; each is given to the tokenizer once and its ids are kept as bytes. A
-text whose pieces do not surely fall at word borders goes to the tokenizer
-whole, so the ids always are those of the whole text.
+recur; each goes to the tokenizer once and its ids are kept as bytes. New
+pieces go there many to a call, joined by spaces: the byte-level vocabulary
+marks the token that starts a piece, the word vocabulary the one that ends a
+word. A text whose pieces do not surely fall at word borders goes to the
+tokenizer whole, so the ids always are those of the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces kept by a Python worker before it starts anew.
+#: Pieces kept by a Python worker: two generations, the older dropped when the newer is full.
 KEPT_PIECES = 400_000
+#: Pieces joined to one text for the tokenizer.
+JOINED = 200
 
 
 def default_vocabulary(name: str) -> str:
@@ -23,11 +29,15 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _blank(c: str) -> bool:
+    return c.isspace() or unicodedata.category(c)[0] in "ZC"
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes.
 
     spaces_join: a space belongs to the word after it (byte-level vocabularies);
-    else white space only separates and is dropped.
+    else white space only separates, and case is dropped.
     """
 
     def __init__(self, path: str, spaces_join: bool):
@@ -35,54 +45,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaces_join = spaces_join
-        self.kept: dict[str, bytes | None] = {}
-
-    @staticmethod
-    def _blank(c: str) -> bool:
-        return c.isspace() or unicodedata.category(c)[0] in "ZC"
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.border = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.border[i] = token.startswith("Ġ") if spaces_join else token.endswith("</w>")
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self._each([m])[0] for m in ",.;:!?"}
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.kept) + len(pieces) > KEPT_PIECES:
-            self.kept.clear()
-        new = list(pieces)
-        if self.spaces_join:
-            # a piece that is empty or has white space at an end may share a word with its neighbours
-            for p in new:
-                if not p or self._blank(p[0]) or self._blank(p[-1]):
-                    self.kept[p] = None
-            new = [p for p in new if p and not self._blank(p[0]) and not self._blank(p[-1])]
-            self.kept.update(zip(new, self._ids([" " + p for p in new])))
-        else:
-            self.kept.update(zip(new, self._ids(new)))
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Pieces have no blank at an end; for the word vocabulary they are letters only."""
+        head = " " if self.spaces_join else ""
+        groups = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([head + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.border[ids])
+            if len(cuts) != len(group):
+                out += self._each([head + p for p in group])
+                continue
+            ends = [*(4 * cuts[1:]).tolist(), 4 * len(ids)] if self.spaces_join else (4 * cuts + 4).tolist()
+            raw, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[at:end])
+                at = end
+        return out
+
+    def _find(self, pieces: Iterable[str]) -> None:
+        """Puts pieces, all missing from the newer generation, into it; but for those without sure borders."""
+        new, old, joined, alone = self.new, self.old, [], []
+        for p in pieces:
+            if p in old:
+                new[p] = old[p]
+            elif self.spaces_join:
+                base = new.get(p[:-1]) if p[-1:] in self.marks else None
+                if base is not None and p[:-1].isalpha():
+                    new[p] = base + self.marks[p[-1]]
+                elif p and not _blank(p[0]) and not _blank(p[-1]) and not any(s in p for s in self.special):
+                    joined.append(p)
+            else:
+                word, mark = (p[:-1], p[-1]) if p[-1:] in self.marks else (p, "")
+                if word.isascii() and word.isalpha():
+                    base = new.get(word.lower())
+                    if base is not None:
+                        new[p] = base + (self.marks[mark] if mark else b"")
+                        continue
+                (joined if p.isalpha() else alone).append(p)
+        new.update(zip(joined, self._many(joined)))
+        new.update(zip(alone, self._each(alone)))
+        if len(new) > KEPT_PIECES // 2:
+            self.old, self.new = new, {}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        split = [t.split(" ") for t in texts]
+        get = self.new.get
+        found = [list(map(get, pieces)) for pieces in split]
+        missing = {p for pieces, ids in zip(split, found) if None in ids for p, x in zip(pieces, ids) if x is None}
+        late: dict[str, bytes] = {}
+        ordered = sorted(missing, key=len)  # words before the same with a mark
+        for at in range(0, len(ordered), KEPT_PIECES // 8):
+            part = ordered[at : at + KEPT_PIECES // 8]
+            self._find(part)
+            source = self.new if part[0] in self.new or self.new else self.old
+            late.update((p, source[p]) for p in part if p in source)
+        for k, (text, pieces, ids) in enumerate(zip(texts, split, found)):
+            if None in ids:
+                ids = [late.get(p) if x is None else x for p, x in zip(pieces, ids)]
+            if self.spaces_join:
+                # the first piece has no space before it; a piece without sure borders sends the text to the tokenizer
+                if None in ids[1:] or _blank(pieces[0][-1:] or " "):
+                    out[k] = self._each([text])[0]
+                else:
+                    out[k] = self._each([pieces[0]])[0] + b"".join(ids[1:])
+            else:
+                out[k] = b"".join(ids)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of one text. Bounded by the text: pieces beyond the kept ones are looked up in parts."""
-        pieces = text.split(" ")
-        if not self.spaces_join:
-            return self._join(pieces)
-        if len(pieces) < 2 or self._blank(pieces[0][-1:] or " "):
-            return self._ids([text])[0]
-        rest = self._join(pieces[1:])
-        return self._ids([text])[0] if rest is None else self._ids([pieces[0]])[0] + rest
-
-    def _join(self, pieces: list[str]) -> bytes | None:
-        out = []
-        for at in range(0, len(pieces), KEPT_PIECES // 2):
-            part = pieces[at : at + KEPT_PIECES // 2]
-            new = set(part).difference(self.kept)
-            if new:
-                self._learn(new)
-                missing = set(part).difference(self.kept)  # dropped when the lookup started anew
-                if missing:
-                    self._learn(missing)
-            try:
-                out.append(b"".join([self.kept[p] for p in part]))
-            except TypeError:  # a piece without sure borders
-                return None
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
