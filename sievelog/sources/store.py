@@ -19,14 +19,20 @@ class LogStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def write(self, records: DataFrame, mode: str = "append", files_per_day: int = 1) -> None:
-        """Adds records. Days are split into files by ranges of time, so a search skips files and row groups by their bounds."""
+    def write(self, records: DataFrame, mode: str = "append", files: int | None = None) -> None:
+        """Adds records. Files hold disjoint ranges of time, so a search skips files and row groups by their bounds.
+
+        files: how many ranges; by default as many as there are shuffle
+        partitions, small ones being joined while the query runs. A busy day
+        has many of them, and no day is one task.
+        """
         rows = normalized(records)
         rows = rows.withColumn("date", F.date_from_unix_date(F.floor(F.col("_ts_nanos").cast("decimal(20,0)") / 86_400_000_000_000).cast("int")))
         if "source_key" not in rows.columns:
             rows = rows.withColumn("source_key", source_key(F.col("source")))
-        rows = rows.repartitionByRange("date", "_ts_nanos") if files_per_day != 1 else rows.repartition("date")
-        writer = rows.sortWithinPartitions("date", "_ts_nanos", "source_key", "offset").write.mode(mode).partitionBy("date").option("compression", "zstd")
+        order = ("date", "_ts_nanos", "source_key", "offset")
+        rows = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+        writer = rows.sortWithinPartitions(*order).write.mode(mode).partitionBy("date").option("compression", "zstd")
         for name in _BLOOMS:
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         writer.parquet(f"{self.path}/records")
