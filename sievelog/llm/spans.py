@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bind, cut, one_of, small_text_batches, stage
@@ -121,9 +121,9 @@ def repeated_spans(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORD
     """(doc, spans): the disjoint [start, end) spans to remove from each document that has any."""
     rows = stage(hashed_runs(docs, run, min_words, long, key, text), "spans-runs")
     firsts = rows.where("not again")
-    # one row for each hash and batch at most; the least place of a hash stays
-    least = firsts.groupBy("hash").agg(F.min(F.struct("rank", "doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("hash", "least")
-    later = firsts.join(least, "hash").where(F.struct("rank", "doc", "start") > F.col("least"))
+    # one shuffle: a hash has one row for each batch at most, and all but the least place are repeats
+    place = F.struct("rank", "doc", "start")
+    later = firsts.withColumn("least", F.min(place).over(Window.partitionBy("hash"))).where(place > F.col("least"))
     # a later place in one batch is later in all, as each batch knows an earlier one
     covered = rows.where("again").select("doc", "start", "end").unionByName(later.select("doc", "start", "end"))
     spans = covered.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
