@@ -118,7 +118,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, given: np.ndarray | None =
     beginning do not count twice.
     """
     n, m = votes.shape
-    v = votes.astype(np.float64)
+    v = votes
     q, weight = start.astype(np.float64), np.ones(m)
     given = np.zeros(n) if given is None else given
     for step in range(rounds):
@@ -126,10 +126,12 @@ def label_model(votes: np.ndarray, start: np.ndarray, given: np.ndarray | None =
         fire1 = np.clip((q @ v + 0.1) / (mass1 + 1), 1e-4, 1 - 1e-4)
         fire0 = np.clip(((1 - q) @ v + 0.01) / (mass0 + 1), 1e-6, 1 - 1e-4)
         if step == 2:  # by then the classes are settled enough to see what they leave unexplained
-            expected = q[:, None] * fire1 + (1 - q)[:, None] * fire0
-            rest = v - expected
-            scale = np.sqrt((rest**2).mean(axis=0) + 1e-12)
-            shared = np.abs(rest.T @ rest / n / np.outer(scale, scale))
+            # products of v - (q fire1 + (1 - q) fire0), without that matrix
+            both, mean = np.stack([q, 1 - q]), np.stack([fire1, fire0])
+            cross = (both @ v).T @ mean
+            rest = (v.T @ v).astype(np.float64) - cross - cross.T + mean.T @ (both @ both.T) @ mean
+            scale = np.sqrt(np.maximum(np.diag(rest), 0) + 1e-9)
+            shared = np.abs(rest / np.outer(scale, scale))
             np.fill_diagonal(shared, 1.0)
             weight = 1 / np.where(shared > 0.2, shared, 0).sum(axis=1)
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
@@ -150,14 +152,18 @@ def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, share: float = 1 /
     """
     toxic = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     each = y * share / toxic + (1 - y) * (1 - share) / (1 - toxic)
-    x1 = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    parts = [(x[at : at + 1000], slice(at, min(len(x), at + 1000))) for at in range(0, len(x), 1000)]  # widened a part at a time
+    wide = lambda part: np.hstack([part.astype(np.float64), np.ones((len(part), 1))])
+    w = np.zeros(x.shape[1] + 1)
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        slope = x1.T @ (each * (p - y)) + shrink * w
-        curve = (x1 * (each * p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(shrink)
+        slope, curve = shrink * w, np.diag(shrink)
+        for part, at in parts:
+            x1 = wide(part)
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            slope += x1.T @ (each[at] * (p - y[at]))
+            curve += (x1 * (each[at] * p * (1 - p) + 1e-9)[:, None]).T @ x1
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
