@@ -28,8 +28,8 @@ from .common import small_text_batches, stage
 from .tokens import encoder
 
 CONTEXT = 2048
-#: Pieces in one bucket of the ranking.
-BUCKET = 100_000
+#: Pieces of one length in one bucket of the ranking.
+BUCKET = 10_000
 #: The plan is sent to the executors; it cannot reach this size for the lengths of one context.
 MAX_PLAN = 2_000_000
 
@@ -114,8 +114,9 @@ def pack(pieces_: DataFrame, context: int = CONTEXT, bucket: int = BUCKET) -> Da
     slots = plan(counts, context)
     if len(slots) > MAX_PLAN:
         raise ValueError(f"a plan of {len(slots)} slots")
-    n_buckets = max(1, -(-sum(counts.values()) // bucket))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(n_buckets)))
+    # as many buckets as a length needs, so there are few groups in all and none is large
+    n_buckets = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // bucket))) for n in range(context + 1)])
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.get(n_buckets, F.col("length").cast("int"))))
     totals = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     shift = totals.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("shift"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece", "ids_crc32"))

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces kept by a Python worker: two generations, the older dropped when the newer is full.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 #: Pieces joined to one text for the tokenizer.
 JOINED = 200
 
@@ -29,6 +29,9 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_PLAIN = frozenset(map(chr, range(33, 127)))
+
+
 def _blank(c: str) -> bool:
     return c.isspace() or unicodedata.category(c)[0] in "ZC"
 
@@ -48,7 +51,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            self.border[i] = token.startswith("Ġ") if spaces_join else token.endswith("</w>")
+            self.border[i] = token.startswith(("Ġ", "Ċ")) if spaces_join else token.endswith("</w>")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {m: self._each([m])[0] for m in ",.;:!?"}
@@ -58,16 +61,24 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text cut at spaces, and before single line breaks, which are words of their own or none."""
+        if not self.spaces_join:
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        return (text if "\n\n" in text else text.replace("\n", " \n")).split(" ")
+
+    def _with_space(self, p: str) -> str:
+        return " " + p if self.spaces_join and p[:1] != "\n" else p
+
     def _many(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece. Pieces have no blank at an end; for the word vocabulary they are letters only."""
-        head = " " if self.spaces_join else ""
         groups = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
         out: list[bytes] = []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([head + " ".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([("" if self.spaces_join else " ").join(map(self._with_space, g)) for g in groups], add_special_tokens=False)):
             ids = np.asarray(e.ids, dtype="<u4")
             cuts = np.flatnonzero(self.border[ids])
             if len(cuts) != len(group):
-                out += self._each([head + p for p in group])
+                out += self._each([self._with_space(p) for p in group])
                 continue
             ends = [*(4 * cuts[1:]).tolist(), 4 * len(ids)] if self.spaces_join else (4 * cuts + 4).tolist()
             raw, at = ids.tobytes(), 0
@@ -76,56 +87,83 @@ class Encoder:
                 at = end
         return out
 
-    def _find(self, pieces: Iterable[str]) -> None:
-        """Puts pieces, all missing from the newer generation, into it; but for those without sure borders."""
-        new, old, joined, alone = self.new, self.old, [], []
+    def _sure(self, p: str) -> bool:
+        """Whether a word border surely lies at both ends of a piece."""
+        p = p[1:] if p[:1] == "\n" else p
+        return bool(p) and (p[0] in _PLAIN or not _blank(p[0])) and (p[-1] in _PLAIN or not _blank(p[-1]))
+
+    def _find(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that the newer generation lacks; but for those without sure borders. They are kept from now on."""
+        new, old, marks, late = self.new, self.old, self.marks, {}
+        marked, joined, alone = [], set(), []
+
+        def ask(p: str) -> None:
+            if p in old:
+                late[p] = old[p]
+            elif p.isalpha() or self.spaces_join and self._sure(p) and p.find("\n", 1) < 0:
+                joined.add(p)
+            elif not self.spaces_join or self._sure(p):
+                alone.append(p)
+
         for p in pieces:
             if p in old:
-                new[p] = old[p]
-            elif self.spaces_join:
-                base = new.get(p[:-1]) if p[-1:] in self.marks else None
-                if base is not None and p[:-1].isalpha():
-                    new[p] = base + self.marks[p[-1]]
-                elif p and not _blank(p[0]) and not _blank(p[-1]) and not any(s in p for s in self.special):
-                    joined.append(p)
-            else:
-                word, mark = (p[:-1], p[-1]) if p[-1:] in self.marks else (p, "")
-                if word.isascii() and word.isalpha():
-                    base = new.get(word.lower())
-                    if base is not None:
-                        new[p] = base + (self.marks[mark] if mark else b"")
-                        continue
-                (joined if p.isalpha() else alone).append(p)
-        new.update(zip(joined, self._many(joined)))
-        new.update(zip(alone, self._each(alone)))
+                late[p] = old[p]
+                continue
+            word, mark = (p[:-1], p[-1]) if p[-1:] in marks and p[:-1].isalpha() else (p, "")
+            base = word.lower() if not self.spaces_join and word.isascii() and word.isalpha() else word
+            if base is not p and base != p:  # made of a word without its mark or capitals
+                marked.append((p, base, mark))
+                if base in new or base in late or base in joined:
+                    continue
+            ask(base)
+        order = list(joined)
+        late.update(zip(order, self._many(order)))
+        late.update(zip(alone, self._each([self._with_space(p) for p in alone])))
+        for p, base, mark in marked:
+            ids = late.get(base) or new[base]
+            late[p] = ids + marks[mark] if mark else ids
+        new.update(late)
         if len(new) > KEPT_PIECES // 2:
             self.old, self.new = new, {}
+        return late
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+        """The ids of each text. Texts that hold a special token's string go to the tokenizer whole."""
         out: list[bytes] = [b""] * len(texts)
-        split = [t.split(" ") for t in texts]
+        whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [() if k in whole else self._pieces(t) for k, t in enumerate(texts)]
         get = self.new.get
         found = [list(map(get, pieces)) for pieces in split]
-        missing = {p for pieces, ids in zip(split, found) if None in ids for p, x in zip(pieces, ids) if x is None}
+        holes = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        missing = list({pieces[i] for pieces, at in zip(split, holes) for i in at})
         late: dict[str, bytes] = {}
-        ordered = sorted(missing, key=len)  # words before the same with a mark
-        for at in range(0, len(ordered), KEPT_PIECES // 8):
-            part = ordered[at : at + KEPT_PIECES // 8]
-            self._find(part)
-            source = self.new if part[0] in self.new or self.new else self.old
-            late.update((p, source[p]) for p in part if p in source)
-        for k, (text, pieces, ids) in enumerate(zip(texts, split, found)):
-            if None in ids:
-                ids = [late.get(p) if x is None else x for p, x in zip(pieces, ids)]
-            if self.spaces_join:
-                # the first piece has no space before it; a piece without sure borders sends the text to the tokenizer
-                if None in ids[1:] or _blank(pieces[0][-1:] or " "):
-                    out[k] = self._each([text])[0]
-                else:
-                    out[k] = self._each([pieces[0]])[0] + b"".join(ids[1:])
-            else:
+        for at in range(0, len(missing), KEPT_PIECES // 8):
+            late.update(self._find(set(missing[at : at + KEPT_PIECES // 8])))
+        heads = []
+        for k, (pieces, ids, at) in enumerate(zip(split, found, holes)):
+            if k in whole:
+                continue
+            for i in at:
+                ids[i] = late.get(pieces[i])
+            if not self.spaces_join:
                 out[k] = b"".join(ids)
+                continue
+            # the first piece has no space before it; a piece without sure borders sends the text to the tokenizer
+            ids[0] = b""
+            try:
+                out[k] = b"".join(ids)
+            except TypeError:
+                whole.add(k)
+                continue
+            if len(pieces) > 1 and pieces[0][:1] != "\n" and self._sure(pieces[0]):
+                heads.append(k)
+            else:
+                whole.add(k)
+        for k, ids in zip(heads, self._each([split[k][0] for k in heads])):
+            out[k] = ids + out[k]
+        rest = sorted(whole)
+        for k, ids in zip(rest, self._each([texts[k] for k in rest])):
+            out[k] = ids
         return out
 
     def encode(self, text: str) -> bytes:
