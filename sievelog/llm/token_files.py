@@ -135,7 +135,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, shard_doc
 
     n = max(1, -(-total // shard_docs))
     made = pressed.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "ids", "data").mapInPandas(shards, "number int, name string, docs long, ids long")
-    files = [r.asDict() for r in made.orderBy("number").collect()] if total else []  # one row a shard
+    files = sorted((r.asDict() for r in made.collect()), key=lambda s: s["number"]) if total else []  # one row a shard
     manifest = {"dictionary_sha256": digest.hex(), "end_id": end_id, "shards": files}
     with fs.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
