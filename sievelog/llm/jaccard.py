@@ -1,0 +1,197 @@
+"""Near duplicates by exact Jaccard similarity of word shingles.
+
+Two texts are linked if their sets of SHINGLE-word shingles have a Jaccard
+similarity of at least 4/5; near duplicates are the components of these links.
+
+MinHash proposes pairs and the sets decide: BANDS bands of ROWS minima make a
+pair of similarity 0.8 meet but for a chance of (1 - 0.8^4)^32 = 5e-8, and one of
+more similarity sooner. Texts with one set are one class from the start. Of the
+pairs in a bucket, those with fewer than AGREE of all minima in common are left
+out (at 0.8 a chance of about 1e-8); each other pair is confirmed by its sets.
+
+A bucket is first compared with its least member only; what that joins is one
+component, and in the second round only pairs of different components are
+compared, so a large family of copies costs its size and not its square. Large
+buckets are cut into tiles that are compared two by two.
+
+Words are those of op1: separated by ASCII white space, ASCII-lower-cased. Defined
+cases: a text of fewer words than a shingle has one shingle of all its words;
+null and empty texts have no shingles and are one class.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import small_text_batches, stage
+from .simhash import classes, one_of_each
+
+SHINGLE = 5
+SEED = 42
+BANDS, ROWS = 32, 4
+#: Minima in common, of BANDS * ROWS, below which a pair is not looked at.
+AGREE = 75
+#: Sets in one tile of a bucket.
+TILE = 2048
+_PRIME = np.uint64(0x9E3779B185EBCA87)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_RNG = np.random.default_rng(SEED)
+_TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted set of a text's shingles, as 64-bit hashes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both act on ASCII only
+    if not words:
+        return np.zeros(0, "<u8")
+    hash_ = xxhash.xxh64_intdigest
+    each = np.fromiter((hash_(w, SEED) for w in words), "<u8", len(words))
+    n = max(1, len(words) - shingle + 1)
+    out = np.full(n, min(shingle, len(words)), "<u8")
+    for k in range(min(shingle, len(words))):
+        out = out * _PRIME + each[k : k + n]
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of BANDS * ROWS hash functions."""
+    least = np.full(BANDS * ROWS, 2**32 - 1, "<u8")
+    for at in range(0, len(found), 2048):  # a bounded table at once
+        least = np.minimum(least, ((found[at : at + 2048, None] * _TIMES + _PLUS) >> np.uint64(32)).min(axis=0))
+    return least.astype("<u4")
+
+
+def _signatures(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """(key, text_hash, fp, n, bands, mins): fp names the set of shingles and n is its size; mins has a byte of each minimum."""
+    small_text_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf["text"]:
+                found = shingles(t, shingle)
+                least = minima(found)
+                bands = [xxhash.xxh64_intdigest(least[ROWS * b : ROWS * b + ROWS].tobytes(), b) for b in range(BANDS)] if len(found) else []
+                out.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), np.array(bands, "<u8").view("<i8"), (least & 255).astype(np.uint8).tobytes()))
+            fps = np.array([x[0] for x in out], "<u8").view("<i8")
+            keys = pdf["key"].astype("Int64") if kind == "bigint" else pdf["key"]
+            yield pd.DataFrame({"key": keys, "text_hash": pdf["text_hash"], "fp": fps, "n": [x[1] for x in out], "bands": [x[2] for x in out], "mins": [x[3] for x in out]})
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInPandas(run, f"key {kind}, text_hash long, fp long, n long, bands array<long>, mins binary")
+
+
+def _alike(fp: np.ndarray, n: np.ndarray, mins: np.ndarray, second: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, row) of one run that their minima and sizes do not exclude: with the first row if root is None, else those of different roots."""
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if second.any() else left
+    for i in left[:1] if root is None else left:
+        j = right if second.any() else right[right > i]
+        if root is not None:
+            j = j[root[j] != root[i]]
+        j = j[(5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i])) & (fp[j] != fp[i])]
+        j = j[(mins[j] == mins[i]).sum(axis=1) >= AGREE]
+        yield np.full(len(j), i), j
+
+
+def _pairs(rows: DataFrame, tile: int) -> DataFrame:
+    """(a, b) to confirm, from rows(bucket, fp, n, mins) for the first round, or with root for the second."""
+    again = "root" in rows.columns
+    w = Window.partitionBy("bucket")
+    rows = rows.withColumn("size", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("fp")) - 1)
+    own, tiles = F.floor(F.col("place") / tile).cast("long"), F.ceil(F.col("size") / tile).cast("long")
+    if again:
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("second")))
+        rows = rows.withColumn("t", F.explode(meets)).withColumns({"pair": F.xxhash64("bucket", "t.i", "t.j"), "second": F.col("t.second")})
+    else:  # each tile is compared with its own least member; a bucket's tiles meet in the second round
+        rows = rows.withColumns({"pair": F.xxhash64("bucket", own), "second": F.lit(False)})
+    rows = rows.select("pair", "second", "fp", "n", "mins", *["root"] * again)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def told(one: list, other: list) -> pd.DataFrame:
+            a, b = np.concatenate(one), np.concatenate(other)
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+        def solved(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            one, other = [], []
+            pair, fp, n, second = (pdf[c].to_numpy() for c in ("pair", "fp", "n", "second"))
+            mins = np.frombuffer(b"".join(pdf["mins"]), np.uint8).reshape(len(pdf), -1)
+            root = pdf["root"].to_numpy() if again else None
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                for i, j in _alike(fp[a:b], n[a:b], mins[a:b], second[a:b].astype(bool), None if root is None else root[a:b]):
+                    one.append(fp[a:b][i])
+                    other.append(fp[a:b][j])
+                if sum(map(len, one)) > 1_000_000:
+                    yield told(one, other)
+                    one, other = [], []
+            if one:
+                yield told(one, other)
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["pair"] == pdf["pair"].iloc[-1]  # its run may go on in the next batch
+            rest = pdf[last]
+            if not last.all():
+                yield from solved(pdf[~last])
+        if rest is not None and len(rest):
+            yield from solved(rest)
+
+    return rows.repartition("pair").sortWithinPartitions("pair", "second", "fp").mapInPandas(run, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, one: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """The pairs whose sets have a similarity of 4/5 or more; one(fp, key, text_hash) names a row of docs for each set."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct().join(one, "fp")
+    texts = docs.select(F.col(key).alias("of_key"), F.col(text).alias("text"), F.xxhash64(text).alias("of_hash"))
+    texts = texts.join(wanted, F.col("of_key").eqNullSafe(F.col("key")) & F.col("of_hash").eqNullSafe(F.col("text_hash"))).select("fp", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"fp": pdf["fp"], "s": [shingles(t, shingle).view("<i8") for t in pdf["text"]]})
+
+    sets = stage(texts.mapInPandas(run, "fp long, s array<long>"), "jaccard-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b").distinct()  # c / (x + y - c) >= 4 / 5
+
+
+def _classified(docs: DataFrame, shingle: int, tile: int, key: str, text: str) -> DataFrame:
+    """Per row of docs: key, text_hash and root (the set that names its component)."""
+    rows = stage(_signatures(docs, shingle, key, text), "jaccard")
+    # the first row of each set, by key (null keys last), then by text hash
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash"))
+    one = stage(rows.groupBy("fp").agg(first.alias("m")).select("fp", F.col("m.none").alias("none"), F.col("m.key").alias("key"), F.col("m.text_hash").alias("text_hash")), "jaccard-one")
+    rank = one.select("fp", F.struct("none", F.col("key").alias("least")).alias("least"))
+    place = one.select("fp", "key", "text_hash")
+    # a set that repeats has equal bands in all its rows; only buckets of two sets or more go on
+    sized = rows.select("fp", F.explode("bands").alias("bucket")).distinct()
+    shared = sized.withColumn("size", F.count("*").over(Window.partitionBy("bucket"))).where("size > 1").select("fp", "bucket")
+    each = rows.select("fp", "n", "mins").dropDuplicates(["fp"])
+    met = stage(shared.join(each, "fp"), "jaccard-buckets")
+    edges = stage(_confirmed(stage(_pairs(met, tile), "jaccard-pairs"), docs, place, shingle, key, text), "jaccard-links")
+    found = classes(edges, rank).select("fp", "root")
+    w = Window.partitionBy("bucket")
+    open_ = met.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    open_ = open_.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo < hi").drop("lo", "hi")
+    more = stage(_confirmed(stage(_pairs(open_, tile), "jaccard-pairs"), docs, place, shingle, key, text), "jaccard-links")
+    found = classes(edges.unionByName(more).distinct(), rank).select("fp", "root")
+    return rows.select("key", "text_hash", "fp").join(found, "fp", "left").select("key", "text_hash", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, tile: int = TILE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest key stays (null keys last, then by text hash)."""
+    return one_of_each(docs, _classified(docs, shingle, tile, key, text), key, text)

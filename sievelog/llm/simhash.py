@@ -299,7 +299,11 @@ def keep_one(docs: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, til
 
     Only keys and hashes are grouped; the texts meet the rows that stay in one join.
     """
-    rows = _classified(docs, radius, blocks, tile, shingle, seed, key, text)
+    return one_of_each(docs, _classified(docs, radius, blocks, tile, shingle, seed, key, text), key, text)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The row of docs that stays of each root; rows(key, text_hash, root)."""
     stays = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("m")).select(F.col("m.key").alias("key"), F.col("m.text_hash").alias("text_hash"))
     names = {"key": one_of("stays_key", docs.columns), "text_hash": one_of("stays_hash", docs.columns)}
     stays = stays.withColumnsRenamed(names)

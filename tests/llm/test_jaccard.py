@@ -1,0 +1,65 @@
+"""The pipeline's near-duplicate stage against brute force: five-word shingles, Jaccard similarity of 0.8 or more."""
+
+import re
+
+import numpy as np
+import pytest
+
+from sievelog.llm import jaccard
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles_plain(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_plain(rows):
+    sets, root = [shingles_plain(t) for _, t, *_ in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (key, *_) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (key is None, key or 0))
+    return sorted(least.values())
+
+
+def families():
+    """Texts with changed words: similarities on both sides of 0.8, chains, and one family beyond a tile."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, changes in ((12, 6), (12, 4), (6, 12), (40, 3), *[(3, 5)] * 6):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 250)]
+        for _ in range(size):
+            words = list(base)
+            for at in rng.integers(0, 250, rng.integers(0, changes + 1)):
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            rows.append(" ".join(words))
+    rows += [rows[0], rows[0].upper(), "one two three four", "One two three  four", "one two three", "", None, " \n"]
+    keys = [int(k) for k in rng.permutation(len(rows))]
+    return [(None if k == 0 else k, t, "en", "s", 1) for k, t in zip(keys, rows)]
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_one_of_each_family_stays(spark, tile):
+    rows = families()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in jaccard.keep_one(docs, tile=tile).collect())
+    assert got == kept_plain(rows) and jaccard.keep_one(docs.limit(0), tile=tile).count() == 0
+
+
+def test_the_stage_drops_copies_of_similarity_081(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id in (2, 547, 989, 7711)")
+    assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, sf).collect()) == [2, 989]
