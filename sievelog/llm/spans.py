@@ -12,7 +12,12 @@ spans.
 
 Sentences end at . ! or ? followed by white space, and at line breaks; one
 longer than LONG words is also cut after every LONG words, so that an unpunctuated
-passage has runs too. Words are compared as written; white space is not.
+passage has runs too. As these cuts fall elsewhere when a sentence begins
+otherwise, stretches of such sentences also have windows of 2 * LONG words at
+places that their words choose: of every CHOICE windows in a row the one of least
+hash. Two stretches that share 2 * LONG + CHOICE - 1 words share a window, and
+windows leave less than CHOICE words at either end of what is shared. Words are
+compared as written; white space is not.
 
 Defined cases: null and empty texts have no sentences and stay as they are;
 rows that repeat both key and text are one document; null keys come last; an
@@ -35,6 +40,9 @@ from .common import bind, cut, one_of, small_text_batches, stage
 RUN = 3
 MIN_WORDS = 12
 LONG = 16
+CHOICE = 8
+_PRIME = np.uint64(0x9E3779B185EBCA87)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"\S+")
 _BREAK = re.compile(r"[.!?]\s|\n")
 
@@ -87,6 +95,33 @@ def runs(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, long: int
     return out
 
 
+def windows(text: str | None, long: int = LONG, choice: int = CHOICE) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of the chosen windows of 2 * long words in stretches of sentences of more than long words."""
+    text, size, out, at = text or "", 2 * long, [], 0
+    stretch: list[tuple[int, int]] = []
+    for to in [*(m.start() + 1 for m in _BREAK.finditer(text)), len(text), None]:
+        if to is not None:
+            n = len(text[at:to].split())
+            if n > long:
+                stretch += [(m.start(), m.end()) for m in _WORD.finditer(text, at, to)]
+            at = to
+            if n > long or not n:
+                continue
+        if len(stretch) >= size:
+            each = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in stretch], "<u8")
+            n = len(each) - size + 1
+            value = np.zeros(n, "<u8")
+            for k in range(size):
+                value = value * _PRIME + each[k : k + n]
+            value = (value ^ (value >> np.uint64(32))) * _MIX
+            value ^= value >> np.uint64(32)
+            near = np.lib.stride_tricks.sliding_window_view(value, min(choice, n))
+            chosen = np.unique(np.arange(len(near)) + near.argmin(axis=1))
+            out += [(h, stretch[i][0], stretch[i + size - 1][1]) for h, i in zip(value[chosen].view("<i8").tolist(), chosen.tolist())]
+        stretch = []
+    return out
+
+
 def hashed_runs(docs: DataFrame, run: int, min_words: int, long: int, key: str, text: str) -> DataFrame:
     """(doc, rank, hash, start, end, again): doc is the hash of key and text, rank orders documents; again: an earlier place in its batch has the same run."""
     small_text_batches(docs.sparkSession)
@@ -95,7 +130,7 @@ def hashed_runs(docs: DataFrame, run: int, min_words: int, long: int, key: str,
         for pdf in batches:
             parts = []
             for doc, rank, t in zip(pdf["doc"], pdf["rank"], pdf["text"]):
-                found = runs(t, run, min_words, long)
+                found = runs(t, run, min_words, long) + windows(t, long)
                 if found:
                     h, a, b = np.array(found, np.int64).T
                     parts.append((np.full(len(h), doc), np.full(len(h), rank), h, a, b))
@@ -126,6 +161,9 @@ def repeated_spans(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORD
     later = firsts.withColumn("least", F.min(place).over(Window.partitionBy("hash"))).where(place > F.col("least"))
     # a later place in one batch is later in all, as each batch knows an earlier one
     covered = rows.where("again").select("doc", "start", "end").unionByName(later.select("doc", "start", "end"))
+    # a run inside another adds nothing; without such, runs start and end in the same order
+    earlier = Window.partitionBy("doc").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    covered = covered.withColumn("reach", F.max("end").over(earlier)).where("reach is null or end > reach").drop("reach")
     spans = covered.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
 
     def islands(s):  # runs start and end in the same order: one begins anew where it starts beyond the end before
