@@ -3,7 +3,8 @@
 Spark's file source reads a file once; this one remembers the end byte of every
 file generation, so bytes appended later are read in a later batch. A
 generation is (path, device, inode): a rotated file starts anew under its own
-key, while the offset of the old one stays.
+key, while the old one, found by its inode beside its path (0.log.*), is drained to its
+last whole line. Rotated files that were never planned under their own path are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class TailReader(DataSourceStreamReader):
         self.done: dict[str, int] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"ends": "{}"}
+        return {"ends": "{}", "rotated": "{}"}
 
     def _finished(self, path: str, start: int, size: int) -> int:
         """The end of the last whole line in [start, start + most), looking further if one line is longer."""
@@ -77,10 +78,34 @@ class TailReader(DataSourceStreamReader):
             except OSError:
                 continue  # gone meanwhile
         self.done = ends
-        return {"ends": json.dumps(ends, sort_keys=True)}
+        return {"ends": json.dumps(ends, sort_keys=True), "rotated": json.dumps(self._rotated(), sort_keys=True)}
+
+    def _rotated(self) -> dict[str, int]:
+        """The last whole line's end in every renamed file, by the key it had at its own path; a restarted reader finds the same keys."""
+        ends: dict[str, int] = {}
+        for path in sorted(glob.glob(f"{self.root}/*/*/*.log.*")):
+            if path.endswith((".gz", ".tmp")) or os.path.basename(os.path.dirname(os.path.dirname(path))).split("_")[0] in self.skip:
+                continue
+            try:
+                st = os.stat(path)
+                with open(path, "rb") as f:
+                    at, cut = st.st_size, -1
+                    while at and cut < 0:
+                        low = max(0, at - 65_536)
+                        f.seek(low)
+                        cut, at = f.read(at - low).rfind(b"\n"), low
+                    ends[json.dumps([f"{path[: path.rindex('.log.')]}.log", st.st_dev, st.st_ino])] = at + cut + 1
+            except OSError:
+                continue  # gone meanwhile
+        return ends
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         before, after = json.loads(start["ends"]), json.loads(end["ends"])
+        gone, now = json.loads(start.get("rotated", "{}")), json.loads(end.get("rotated", "{}"))
+        for k, v in now.items():  # read on from where the generation stood at its path
+            if k in before or k in gone:
+                before[k] = max(before.get(k, 0), gone.get(k, 0))
+                after[k] = max(v, after.get(k, 0))
         self.done = {**after, **{k: max(v, after.get(k, 0)) for k, v in self.done.items()}}
         spans = [Span(*json.loads(k), before.get(k, 0), v) for k, v in sorted(after.items()) if v > before.get(k, 0)]
         return spans or [Span("", 0, 0, 0, 0)]
