@@ -1,6 +1,9 @@
 """From growing container files to stored records, as one stream.
 
-    tail -> parse -> fold partial lines (state) -> pod identity, body -> wait for metadata (state) -> enrich -> store
+    tail -> parse -> fold partial lines (state) -> pod identity, body -> enrich -> store
+
+ingest() does not wait for metadata: pods are a static table, and a record whose pod is not
+in it yet is stored un-enriched and is not opted out. wait_for_metadata() is not wired in.
 
 Source offsets and state are committed after the sink, so a restart repeats
 what was not stored and nothing else.
