@@ -297,11 +297,39 @@ def test_labels_of_the_held_out_fold_are_not_used(spark, labelled):
     assert toxicity.fit(df, labels).weights == toxicity.fit(df, flipped).weights
 
 
-def test_correlated_voters_share_their_say():
+def test_label_model_tells_kinds_apart_from_votes_alone():
     rng = np.random.default_rng(2)
-    y = rng.random(4000) < 0.3
-    a, b, c = (np.where(y, rng.random(4000) < 0.6, rng.random(4000) < 0.05) for _ in range(3))
-    votes = np.stack([a, b, c, c, c], axis=1).astype(np.float32)
-    q, found = toxicity.label_model(votes, np.where(votes.any(axis=1), 0.8, 0.1))
-    assert found["weight"][2] < 0.34 < found["weight"][0] and abs(found["prior"] - 0.3) < 0.08
-    assert np.mean((q > 0.5) == y) > 0.8
+    y = (rng.random(4000) < 0.3).astype(int)
+    kind = rng.random(4000) < 0.5  # two languages with insults of their own, and a chatty kind of clean text
+    fires = lambda p: rng.random(4000) < p
+    votes = np.stack([fires(np.where((y == 1) & (kind == (j < 3)), 0.7, 0.02)) for j in range(6)] + [fires(np.where((y == 0) & kind, 0.6, 0.02)) for _ in range(3)], axis=1)
+    told = np.where(rng.random(4000) < 0.25, y, -1)
+    q, found = toxicity.label_model(votes.astype(np.float32), told, kinds=6)
+    assert np.mean((q > 0.5) == y) > 0.9 and abs(found["prior"] - 0.3) < 0.05 and found["agrees"] > 0.9
+    true = (y @ votes) / votes.sum(axis=0)
+    assert np.abs(found["accuracy"] - true).max() < 0.15
+
+
+def test_linear_converges_or_raises():
+    rng = np.random.default_rng(3)
+    x = (rng.random((3000, 300)) < 0.05).astype(np.float32)
+    y = np.clip(x[:, 0] + x[:, 1] * 0.9, 0.001, 0.999)  # nearly separable, with voters that repeat
+    x[:, 2] = x[:, 0]
+    w, b = toxicity.linear([(x, y), (np.eye(300, dtype=np.float32), np.full(300, 0.5))])
+    assert np.abs(w).max() < 50 and w[0] > 1 and abs(w[0] - w[2]) < 1e-6 and b < 0
+    with pytest.raises(ArithmeticError):
+        toxicity.linear([(x, y)], rounds=1)
+
+
+def test_toxicity_of_several_copies(spark):
+    """Rows of five copies of a table under shifted ids: more rows than the sample takes, and voters that repeat."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    shift = lambda df, i: df.withColumn("doc_id", F.col("doc_id") + i * 10_000_000)
+    many, told = docs, labels
+    for i in range(1, 5):
+        many, told = many.unionByName(shift(docs, i)), told.unionByName(shift(labels, i))
+    model = toxicity.fit(many, told)
+    assert max(map(abs, model.weights.values())) < 50 and -10 < model.bias < 0 and model.score(None) < 0.5
+    got = toxicity.scored(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).groupBy("toxic").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("called")).collect()
+    called = {r["toxic"]: r["called"] for r in got}
+    assert called[0] <= 0.02 and called[1] >= 0.85
