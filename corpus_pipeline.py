@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelog.llm import jaccard, mixing, packing, pii, toxicity
+from sievelog.llm import mixing, packing, pii, simhash, toxicity
 from sievelog.llm.common import DOCUMENT_COLUMNS, stage, table
 from sievelog.llm.tokens import default_vocabulary
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five-word shingles, Jaccard similarity 0.8 or more) one document stays."""
-    return jaccard.keep_one(docs).select(*DOCUMENT_COLUMNS)
+    return simhash.keep_one(docs, shingle=5, similarity=0.8).select(*DOCUMENT_COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,27 +97,66 @@ def chunks(n: int, size: int) -> Iterator[tuple[int, int]]:
         yield at, min(n, at + size)
 
 
+#: Values that one step of a running total holds: a step copies what it has so far.
+_STEP = 256
+
+
+def running(values: Column, kind: str, add, zero) -> Column:
+    """What add(total, value) has made of the values before each of them, as an array: a scan.
+
+    It goes over steps of _STEP values and then over the steps, so the work for n
+    values is about n * _STEP / 2 + (n / _STEP)^2 / 2 and not n^2 / 2 copies. zero must be add's neutral value.
+    """
+    nothing, start = F.array().cast(f"array<{kind}>"), F.lit(zero).cast(kind)
+
+    def scan(v: Column, first: Column) -> Column:
+        return F.aggregate(v, F.struct(nothing.alias("out"), first.alias("at")), lambda a, x: F.struct(F.concat(a["out"], F.array(a["at"])).alias("out"), add(a["at"], x).cast(kind).alias("at")), lambda a: a["out"])
+
+    def whole(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _STEP).cast("int")), lambda b: F.slice(v, b * _STEP + 1, F.lit(_STEP)))
+
+        def joined(cut_: Column) -> Column:
+            totals = F.transform(cut_, lambda c: F.aggregate(c, start, lambda a, x: add(a, x).cast(kind)))
+            return bind(scan(totals, start), lambda before: F.flatten(F.transform(cut_, lambda c, b: scan(c, F.get(before, b)))))
+
+        return F.when(F.size(v) == 0, nothing).when(F.size(v) <= _STEP, scan(v, start)).otherwise(bind(steps, joined))
+
+    return bind(values, whole)
+
+
 def merged(spans: Column) -> Column:
     """Sorted, disjoint [start, end) pairs covering an array of struct(start, end) in any order."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (x["start"] <= last["end"])
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+    def whole(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: x["end"]), "int", F.greatest, -1)
+
+        def islands(r: Column) -> Column:
+            begins = F.filter(F.transform(s, lambda x, i: F.when(x["start"] > F.get(r, i), x["start"])), lambda x: x.isNotNull())
+            stops = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1)["start"] > F.greatest(F.get(r, i), x["end"]), F.lit(True)), F.greatest(F.get(r, i), x["end"]))), lambda x: x.isNotNull())
+            return F.transform(F.arrays_zip(begins.alias("start"), stops.alias("end")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return F.aggregate(F.array_sort(spans), empty, add)
+        return bind(reach, islands)
 
+    return bind(F.sort_array(spans), whole)
+
+
+def cut(text: Column, spans: Column, fill: str = "") -> Column:
+    """text with each of the sorted, disjoint [start, end) spans (in code points) replaced by fill.
+
+    A place in a text is found by counting from its beginning, so the text is
+    first cut into the parts that hold _STEP spans each.
+    """
 
-def cut(text: Column, spans: Column, fill: Column | str = "") -> Column:
-    """text with each of the sorted, disjoint [start, end) spans (in code points) replaced by fill(span)."""
-    filler = fill if callable(fill) else (lambda _s: F.lit(fill))
+    def kept(t: Column, s: Column, at: Column, to: Column) -> Column:
+        """t, which begins at code point `at` and ends at `to`, without its spans."""
+        left = F.transform(s, lambda x, i: bind(F.when(i == 0, at).otherwise(F.get(s, i - 1)["end"]), lambda a: t.substr(a - at + 1, x["start"] - a)))
+        return F.concat(F.array_join(F.concat(left, F.array(F.lit(""))), fill), t.substr(F.element_at(s, -1)["end"] - at + 1, to - F.element_at(s, -1)["end"]))
 
     def whole(t: Column) -> Column:
         def build(s: Column) -> Column:
-            kept = F.transform(s, lambda x, i: F.concat(t.substr(F.when(i == 0, F.lit(1)).otherwise(F.element_at(s, i)["end"] + 1), x["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at(s, i)["end"])), filler(x)))
-            return F.concat(F.array_join(kept, ""), t.substr(F.element_at(s, -1)["end"] + 1, F.length(t)))
+            steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _STEP).cast("int")), lambda b: F.struct(F.slice(s, b * _STEP + 1, F.lit(_STEP)).alias("s"), F.when(b == 0, F.lit(0)).otherwise(F.get(s, b * _STEP - 1)["end"]).alias("at"), F.when((b + 1) * _STEP >= F.size(s), F.length(t)).otherwise(F.get(s, (b + 1) * _STEP - 1)["end"]).alias("to")))
+            parts = F.transform(steps, lambda p: bind(t.substr(p["at"] + 1, p["to"] - p["at"]), lambda part: kept(part, p["s"], p["at"], p["to"])))
+            return F.when(F.size(s) <= _STEP, kept(t, s, F.lit(0), F.length(t))).otherwise(F.array_join(parts, ""))
 
         return F.when(F.size(spans) > 0, bind(spans, build)).otherwise(t)
 

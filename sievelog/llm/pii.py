@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, cut, merged, one_of
+from .common import bind, cut, merged, one_of, running
 
 _NAME = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_NAME})){_NAME}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -28,6 +28,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: A card or an international number among other digits, where the base patterns see one long match and drop it.
+CARD_AMONG = r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])"
+PHONE_AMONG = r"\+[0-9](?:[().\x20-]{0,2}[0-9]){7,14}(?![0-9])"
 LOCAL_PHONE = r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
 BASE = ("email", "ip", "card", "phone")
@@ -38,22 +41,30 @@ THRESHOLD = 0.6
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def found(text: Column, pattern: str) -> Column:
-    """array of struct(start, end, value): the leftmost matches that do not overlap."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def found(text: Column, pattern: str, nearby: int = 0) -> Column:
+    """array of struct(start, end, value, around): the leftmost matches that do not overlap, in time in proportion to the text.
+
+    around: the match with the text of up to `nearby` code points on either
+    side, read from the pieces and matches next to it.
+    """
+    kind = "array<struct<start:int,end:int,value:string,around:string>>"
 
     def placed(m: Column) -> Column:
         def joined(between: Column) -> Column:
-            start = F.struct(empty.alias("out"), F.lit(0).alias("at"))
+            piece = lambda i: F.coalesce(F.when(i >= 0, F.get(between, i)), F.lit(""))
+            match = lambda i: F.coalesce(F.when(i >= 0, F.get(m, i)), F.lit(""))
 
-            def add(acc: Column, i: Column) -> Column:
-                begin = acc["at"] + F.length(F.get(between, i))
-                end = begin + F.length(F.get(m, i))
-                return F.struct(F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(m, i).alias("value")))).alias("out"), end.alias("at"))
+            def around(i: Column) -> Column:
+                if not nearby:
+                    return F.lit("")
+                before, after = F.concat(F.right(piece(i - 1), F.lit(nearby)), match(i - 1), piece(i)), F.concat(piece(i + 1), match(i + 1), F.left(piece(i + 2), F.lit(nearby)))
+                return F.concat(F.right(before, F.lit(nearby)), F.get(m, i), F.left(after, F.lit(nearby)))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, add, lambda acc: acc["out"])
+            begins = running(F.transform(m, lambda v, i: F.length(F.get(between, i)) + F.length(v)), "int", lambda a, x: a + x, 0)
+            spot = lambda b: F.transform(m, lambda v, i: bind(F.get(b, i) + F.length(F.get(between, i)), lambda at: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"), around(i).alias("around"))))
+            return bind(begins, spot)
 
-        return F.when(F.size(m) == 0, empty).otherwise(bind(F.split(text, pattern, -1), joined))
+        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(bind(F.split(text, pattern, -1), joined))
 
     return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -114,28 +125,42 @@ KINDS = (
     Kind("iban", IBAN, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), mod97, 0.9, 0.1, r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b", 0.2),
     Kind("ssn", SSN, lambda t: t.rlike("[0-9]-[0-9]"), lambda v: ~v.rlike("^(?:000|666|9)") & ~v.rlike("-00-|-0000$"), 0.4, 0.0, r"(?i)\b(?:ssn|social security|tax id)\b", 0.4),
     Kind("local_phone", LOCAL_PHONE, _DIGIT, lambda v: ~v.rlike(r"^\(?[01]"), 0.4, 0.1, r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell)\b", 0.4),
+    Kind("card_among", CARD_AMONG, lambda t: t.rlike("[0-9]{4}[\x20-]?[0-9]{4}"), lambda v: luhn(digits(v))),
+    Kind("phone_among", PHONE_AMONG, lambda t: t.contains("+"), lambda v: F.length(digits(v)).between(8, 15)),
 )
 
 
 def _accepted(text: Column, kind: Kind, threshold: float) -> Column:
     def score(x: Column) -> Column:
         s = F.when(kind.ok(x["value"]), F.lit(kind.sure)).otherwise(F.lit(kind.unsure))
-        if not kind.near:
-            return s
-        around = text.substr(F.greatest(F.lit(1), x["start"] + 1 - NEARBY), x["end"] - x["start"] + 2 * NEARBY)
-        return s + F.when((s > 0) & around.rlike(kind.near), F.lit(kind.bonus)).otherwise(F.lit(0.0))
+        return s + F.when((s > 0) & x["around"].rlike(kind.near), F.lit(kind.bonus)).otherwise(F.lit(0.0)) if kind.near else s
 
-    spans = F.transform(F.filter(found(text, kind.pattern), lambda x: score(x) >= threshold), lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    spans = F.transform(F.filter(found(text, kind.pattern, NEARBY if kind.near else 0), lambda x: score(x) >= threshold), lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return F.when(kind.needs(text), spans).otherwise(F.array().cast(_SPANS))
 
 
+def _free(more: Column, base: Column) -> Column:
+    """The spans of more, by kind and place, that no span of base overlaps: two scans over both in order of place."""
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k.name, i)])
+    mark = lambda spans, own: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), rank[x["kind"]].alias("rank"), x["kind"].alias("kind")))
+    far = 2**31 - 1
+
+    def sift(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(F.lit(-1))), "int", F.greatest, -1)
+        ahead = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(F.lit(far)))), "int", F.least, far))
+        alone = lambda r, a: F.filter(s, lambda x, i: (x["own"] == 1) & (F.get(r, i) <= x["start"]) & (F.get(a, i) >= x["end"]))
+        ordered = bind(reach, lambda r: bind(ahead, lambda a: F.sort_array(F.transform(alone(r, a), lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))))
+        return F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(bind(F.sort_array(F.concat(mark(base, 0), mark(more, 1))), sift))
+
+
 def spans(text: Column, threshold: float = THRESHOLD) -> Column:
     """All spans by kind as listed, then by place; those of the method's own kinds only where no base span lies."""
     text = F.coalesce(text, F.lit(""))
     base = F.concat(*[_accepted(text, k, threshold) for k in KINDS if k.name in BASE])
     more = F.concat(*[_accepted(text, k, threshold) for k in KINDS if k.name not in BASE])
-    free = lambda b: F.filter(more, lambda x: ~F.exists(b, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return bind(base, lambda b: F.concat(b, free(b)))
+    return bind(base, lambda b: bind(more, lambda m: F.concat(b, _free(m, b))))
 
 
 def listed(found_: Column, kinds: tuple[str, ...] | None = None) -> Column:

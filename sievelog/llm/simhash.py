@@ -11,6 +11,12 @@ block is abandoned once all its distances exceed the radius. A bucket yields
 the edges of a spanning forest, not its pairs. Large buckets are cut into tiles
 that are compared two by two, in tasks of bounded size.
 
+keep_one(similarity=...) links by the Jaccard similarity of shingle sets instead:
+see similar.py, which compares longer fingerprints by the same planes and counters.
+
+Hot keys: fingerprints and buckets that hold more than a small share of all rows are
+few, by that share; they are broadcast or tiled by hash, and no task gets one whole.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; rows that repeat a key are members of their fingerprint's class;
 a class of rows whose keys are all null has a null id; an empty table gives no rows.
@@ -89,12 +95,13 @@ def bucket_keys(fp: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Colum
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes of fingerprints, 64 to a block: out[block, bit] holds that bit of each, one lane a fingerprint."""
-    n = -(-len(fps) // 64)
-    padded = np.zeros(64 * n, "<u8")
+    """Bit planes of fingerprints (n, or n x words of 64 bits), 64 to a block: out[block, bit] holds that bit of each, one lane a fingerprint."""
+    fps = fps.reshape(len(fps), -1)
+    n, words = -(-len(fps) // 64), fps.shape[1]
+    padded = np.zeros((64 * n, words), "<u8")
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 64, 8), axis=2, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8").reshape(n, 64)
+    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 64, 8 * words), axis=2, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8").reshape(n, 64 * words)
 
 
 def near(query: np.ndarray, stored: np.ndarray, of: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +110,15 @@ def near(query: np.ndarray, stored: np.ndarray, of: np.ndarray, block: np.ndarra
     Two planes a step go through a full adder into the counters; a lane is lost
     when its counter has passed the radius, an item when all its lanes are.
     """
+    query = query.reshape(len(query), -1)
     item = np.arange(len(of))
-    q, alive = query[of], lanes.copy()
+    alive = lanes.copy()
     depth = max(1, radius.bit_length())
     counters = [np.zeros(len(of), "<u8") for _ in range(depth)]
-    for bit in range(0, 64, 2):
-        a, b = (stored[block, k] ^ (-((q >> np.uint64(k)) & np.uint64(1)).astype("<i8")).view("<u8") for k in (bit, bit + 1))
+    for bit in range(0, stored.shape[1], 2):
+        if bit % 64 == 0:
+            q = query[of, bit // 64]
+        a, b = (stored[block, k] ^ (-((q >> np.uint64(k % 64)) & np.uint64(1)).astype("<i8")).view("<u8") for k in (bit, bit + 1))
         low = counters[0]
         mixed = a ^ b
         carry = (a & b) | (low & mixed)
@@ -116,6 +126,8 @@ def near(query: np.ndarray, stored: np.ndarray, of: np.ndarray, block: np.ndarra
         for k in range(1, depth):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         beyond = carry  # past all counters
+        if bit + 2 <= radius:
+            continue  # no lane can have passed the radius yet
         over, same = np.zeros_like(beyond), np.full_like(beyond, _FULL)
         for k in reversed(range(depth)):  # counter > radius, from the highest bit
             if radius >> k & 1:
@@ -127,7 +139,7 @@ def near(query: np.ndarray, stored: np.ndarray, of: np.ndarray, block: np.ndarra
         if bit % 8 == 6:
             left = alive != 0
             if not left.all():
-                item, q, alive, block = item[left], q[left], alive[left], block[left]
+                item, q, of, alive, block = item[left], q[left], of[left], alive[left], block[left]
                 counters = [c[left] for c in counters]
                 if not len(item):
                     break
@@ -204,6 +216,36 @@ def linked(group: np.ndarray, fps: np.ndarray, second: np.ndarray, radius: int =
     return (left[0], right[0]) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def meeting(group: np.ndarray, fps: np.ndarray, stored: np.ndarray, asks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of askers and the stored rows within the radius, inside each run of equal `group`, some at a time."""
+    starts = np.concatenate([[True], group[1:] != group[:-1]])
+    run = np.cumsum(starts) - 1
+    kept = np.flatnonzero(stored)
+    held = np.bincount(run[kept], minlength=run[-1] + 1)
+    per = -(-held // 64)
+    first_block = np.concatenate([[0], np.cumsum(per)[:-1]])
+    slot = 64 * first_block[run[kept]] + np.arange(len(kept)) - np.concatenate([[0], np.cumsum(held)[:-1]])[run[kept]]
+    whole = np.zeros((64 * int(per.sum()), fps.shape[1]), "<u8")
+    whole[slot] = fps[kept]
+    sliced = planes(whole)
+    row_of = np.full(len(whole), -1)
+    row_of[slot] = kept
+    valid = np.packbits((row_of >= 0).reshape(-1, 64), axis=1, bitorder="little").view("<u8").reshape(-1)
+    askers = np.flatnonzero(asks & (per[run] > 0))
+    bounds = np.concatenate([[0], np.cumsum(per[run[askers]])])
+    at = 0
+    while at < len(askers):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 250_000, side="right")) - 1)
+        some = askers[at:to]
+        of = np.repeat(np.arange(len(some)), per[run[some]])
+        block = first_block[run[some]][of] + np.arange(len(of)) - (bounds[at:to] - bounds[at])[of]
+        item, alive = near(fps[some], sliced, of, block, valid[block], radius)
+        for lo in range(0, len(item), 16_384):
+            i, lane = np.nonzero(np.unpackbits(alive[lo : lo + 16_384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield some[of[item[lo + i]]], row_of[64 * block[item[lo + i]] + lane]
+        at = to
+
+
 def _forest(n: int, left: list, right: list) -> tuple[list, list]:
     if not left:
         return [], []
@@ -212,14 +254,35 @@ def _forest(n: int, left: list, right: list) -> tuple[list, list]:
     return [root[rows]], [rows]
 
 
+#: Keys that hold more than one row in so many are hot; there are fewer than that of them, so a table of them can be broadcast.
+HOT_SHARE = 1_000
+HOT_BUCKETS = 100_000
+
+
+def placed(rows: DataFrame, bucket: str, by: str, tile: int) -> DataFrame:
+    """rows of buckets of two or more, with `own`, the tile of the row, and `tiles`, how many the bucket has.
+
+    A bucket's rows are tiled by rank; those of hot ones, by hash, as a rank would
+    take a whole bucket through one task.
+    """
+    counts = stage(rows.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(4 * tile, total // HOT_BUCKETS))  # fewer than HOT_BUCKETS rows
+    hot = hot.select(bucket, F.ceil(F.col("n") / tile).cast("long").alias("tiles"))
+    w = Window.partitionBy(bucket)
+    cold = rows.join(F.broadcast(hot.select(bucket)), bucket, "left_anti").withColumn("n", F.count("*").over(w)).where("n > 1")
+    cold = cold.withColumns({"own": F.floor((F.row_number().over(w.orderBy(by)) - 1) / tile).cast("long"), "tiles": F.ceil(F.col("n") / tile).cast("long")}).drop("n")
+    if not hot.limit(1).count():
+        return cold
+    warm = rows.join(F.broadcast(hot), bucket).withColumn("own", F.pmod(F.xxhash64(F.lit(7), by), F.col("tiles")))
+    return cold.unionByName(warm.select(cold.columns))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(a, b): edges between different fingerprints of fps(fp) within the radius; their classes are those of all links."""
     rows = fps.select("fp", F.explode(bucket_keys(F.col("fp"), radius, blocks)).alias("bucket"))
-    # a window keeps a bucket's count and each row's place by spilling, whatever the bucket's size
-    w = Window.partitionBy("bucket")
-    rows = rows.withColumn("n", F.count("*").over(w)).where("n > 1").withColumn("place", F.row_number().over(w.orderBy("fp")) - 1)
-    tiles = F.ceil(F.col("n") / tile).cast("long")
-    own = F.floor(F.col("place") / tile).cast("long")
+    rows = placed(rows, "bucket", "fp", tile)
+    tiles, own = F.col("tiles"), F.col("own")
     # tile i meets every tile j: rows of i go to (i, j), as first or second side
     meets = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("second")))
     rows = rows.select("fp", "bucket", F.explode(meets).alias("t")).select("fp", F.xxhash64("bucket", "t.i", "t.j").alias("pair"), "t.second")
@@ -278,40 +341,77 @@ def classes(edges: DataFrame, rank: DataFrame) -> DataFrame:
         before, now = mark, next_
 
 
+def assigned(rows: DataFrame, of: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """rows joined with of by column `name`; counts(name, n) tells the hot keys, whose few rows of `of` are broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(16, total // HOT_SHARE)).select(name)  # fewer than HOT_SHARE rows
+    cold = rows.join(F.broadcast(hot), name, "left_anti").join(of.join(F.broadcast(hot), name, "left_anti"), name)
+    return cold.unionByName(rows.join(F.broadcast(of.join(F.broadcast(hot), name)), name).select(cold.columns))
+
+
+#: The first row of a class: keys before nulls, then by text hash.
+FIRST = "struct(key is null as none, key, text_hash)"
+
+
 def _classified(docs: DataFrame, radius: int, blocks: int, tile: int, shingle: int, seed: int, key: str, text: str) -> DataFrame:
-    """Per row of docs: key, text_hash, fp, root (the fingerprint that names its class) and component."""
+    """Per row of docs: key, text_hash, fp and first, the FIRST of its component."""
     rows = stage(fingerprints(docs, key, text, shingle, seed), "simhash")
-    rank = stage(rows.groupBy("fp").agg(F.min("key").alias("least")), "simhash-classes")
+    rank = stage(rows.groupBy("fp").agg(F.min(F.expr(FIRST)).alias("least"), F.count("*").alias("n")), "simhash-classes")
     edges = stage(links(rank.select("fp"), radius, blocks, tile), "simhash-links")
-    # fingerprints without any key rank behind the others
-    found = classes(edges, rank.select("fp", F.struct(F.col("least").isNull().alias("none"), F.col("least")).alias("least")))
-    of = rank.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("root_least.least")).alias("component"))
-    return rows.join(of, "fp").select("key", "text_hash", "fp", "root", "component")
+    return with_first(rows, rank, edges)
+
+
+def with_first(rows: DataFrame, rank: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows(key, text_hash, fp) with first, the FIRST of their component: classes of fp, with least and n in rank, joined by edges(a, b)."""
+    found = classes(edges, rank.select("fp", "least"))
+    of = rank.join(found, "fp", "left").select("fp", F.coalesce("root_least", "least").alias("first"))
+    return assigned(rows, stage(of, "simhash-first"), rank.select("fp", "n"), "fp")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, shingle: int = SHINGLE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, fp (signed long) and component (the smallest key reachable over links)."""
-    return _classified(docs, radius, blocks, tile, shingle, seed, key, text).select("key", "fp", "component")
+    return _classified(docs, radius, blocks, tile, shingle, seed, key, text).select("key", "fp", F.col("first.key").alias("component"))
 
 
-def keep_one(docs: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, shingle: int = SHINGLE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, similarity: float | None = None, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE, shingle: int = SHINGLE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near duplicates: of each component the row with the smallest key stays (null keys last, then by text hash).
 
-    Only keys and hashes are grouped; the texts meet the rows that stay in one join.
+    similarity: links are then pairs of texts whose shingle sets have at least this Jaccard similarity,
+    and radius and blocks are not used. Only keys and hashes are grouped.
     """
-    return one_of_each(docs, _classified(docs, radius, blocks, tile, shingle, seed, key, text), key, text)
+    if similarity is None:
+        return one_of_each(docs, _classified(docs, radius, blocks, tile, shingle, seed, key, text), key, text)
+    from .similar import classified
+
+    return one_of_each(docs, classified(docs, similarity, shingle, tile, key, text), key, text)
+
+
+#: Rows that go are broadcast up to this number (16 bytes each, and the hash table); beyond it they are joined by a shuffle.
+BROADCAST_LOSERS = 1_000_000
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """The row of docs that stays of each root; rows(key, text_hash, root)."""
-    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("m")).select(F.col("m.key").alias("key"), F.col("m.text_hash").alias("text_hash"))
-    names = {"key": one_of("stays_key", docs.columns), "text_hash": one_of("stays_hash", docs.columns)}
-    stays = stays.withColumnsRenamed(names)
+    """The row of docs that is the first of each component; rows(key, text_hash, first).
+
+    The rows that go are told by key and text hash. Of rows that repeat both, the
+    one of least hash stays; only their texts are grouped.
+    """
+    rows = stage(rows.select("key", "text_hash", "first"), "simhash-rows")
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
+    each = rows.groupBy("key", "text_hash").agg(F.count("*").alias("n"), F.max(stays).alias("stays"))
+    out = stage(each.where("not stays or n > 1"), "simhash-losers")
+    names = {"key": one_of("loser_key", docs.columns), "text_hash": one_of("loser_hash", docs.columns)}
     hashed = one_of("hash_of_text", docs.columns)
-    kept = docs.withColumn(hashed, F.xxhash64(text)).join(stays, F.col(key).eqNullSafe(F.col(names["key"])) & (F.col(hashed) == F.col(names["text_hash"])), "left_semi")
-    number = one_of("number_of_row", docs.columns)
-    again = Window.partitionBy(key, hashed).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn(number, F.row_number().over(again)).where(F.col(number) == 1).select(*docs.columns)
+    whose = F.col(key).eqNullSafe(F.col(names["key"])) & F.col(hashed).eqNullSafe(F.col(names["text_hash"]))
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_LOSERS else df
+    told = docs.withColumn(hashed, F.xxhash64(text))
+    kept = told.join(sized(out.select("key", "text_hash").withColumnsRenamed(names)), whose, "left_anti").select(*docs.columns)
+    twice = out.where("stays").select("key", "text_hash").withColumnsRenamed(names)
+    if not twice.limit(1).count():
+        return kept
+    again = told.join(sized(twice), whose, "left_semi")
+    one = again.groupBy(key, hashed).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row_")).select("row_.*")
+    return kept.unionByName(one)
 
 
 def as_hex(fp: Column) -> Column:

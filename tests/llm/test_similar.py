@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from sievelog.llm import jaccard
+from sievelog.llm import similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,8 +54,36 @@ def families():
 def test_one_of_each_family_stays(spark, tile):
     rows = families()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in jaccard.keep_one(docs, tile=tile).collect())
-    assert got == kept_plain(rows) and jaccard.keep_one(docs.limit(0), tile=tile).count() == 0
+    keep = lambda df: simhash.keep_one(df, shingle=5, similarity=0.8, tile=tile)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in keep(docs).collect())
+    assert got == kept_plain(rows) and keep(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_meet_and_stay_within_the_radius():
+    rng = np.random.default_rng(6)
+    radius, far = similar.radius_of(0.8), []
+    for n in (4, 9, 20, 100, 1000):
+        for _ in range(60):
+            common, own = int(np.ceil(8 * n / 9)), n - int(np.ceil(8 * n / 9))
+            both = rng.integers(0, 2**63, common, dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, own, dtype=np.uint64)])) for _ in range(2))
+            far.append(int(np.bitwise_count(similar.fingerprint(a) ^ similar.fingerprint(b)).sum()))
+    assert max(far) <= radius
+    fps = rng.integers(0, 2**63, (300, similar.WORDS), dtype=np.uint64)
+    for i in range(100, 200):  # neighbours at 0 to 99 bits
+        fps[i] = fps[i - 100]
+        for k in rng.choice(64 * similar.WORDS, i - 100, replace=False):
+            fps[i, k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    group = np.sort(rng.integers(0, 3, 300))
+    stored, asks = rng.random(300) < 0.8, rng.random(300) < 0.5
+    got = {(int(i), int(j)) for a, b in simhash.meeting(group, fps, stored, asks, radius) for i, j in zip(a, b)}
+    near = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= radius
+    assert got == {(i, j) for i in range(300) for j in range(300) if asks[i] and stored[j] and group[i] == group[j] and near(i, j)}
+
+
+def test_other_similarities_are_refused(spark):
+    with pytest.raises(ValueError, match="0.8"):
+        simhash.keep_one(spark.createDataFrame([], SCHEMA), similarity=0.5)
 
 
 def test_the_stage_drops_copies_of_similarity_081(spark):

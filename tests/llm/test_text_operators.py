@@ -210,6 +210,58 @@ def test_pii_base_spans(spark, empty):
     assert pii.redacted(empty).count() == 0
 
 
+def test_pii_of_one_text_takes_time_in_proportion(spark):
+    """Many matches in one text: numbers that fail, spans that stay, and candidates of the method beside base spans."""
+    import time
+
+    def took(text, want):
+        began = time.perf_counter()
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        rows = pii.redacted(pii.with_spans(df, "s")).select(F.size("s").alias("n"), F.length("text").alias("length"), F.get("s", F.size("s") - 1)["end"].alias("last")).collect()
+        assert rows[0]["n"] == want and (not want or rows[0]["last"] <= len(text))
+        return time.perf_counter() - began
+
+    for unit, per in (("12, ", 0), ("a@b.cd ", 1), ("tel 212 555 1234, x@y.zz 1.2.3.4; ", 3)):
+        took(unit * 100, 100 * per)
+        n = 200_000 // len(unit)
+        small, large = took(unit * n, n * per), took(unit * 2 * n, 2 * n * per)
+        assert large < 3 * small + 2, (unit, small, large)
+    assert took("12, " * 400_000, 0) < 30
+
+
+def test_pii_among_other_digits(spark):
+    texts = ["7536784127813050 4111111111111111", "+44 20 7946 0958 10.0.0.1", "4111111111111111", "9" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r["x"] for r in pii.with_spans(df, "s").orderBy("doc_id").select(pii.listed(F.col("s")).alias("x")).collect()]
+    assert got == ["card_among:0:16,card_among:17:33", "ip:17:25,phone_among:0:16", "card:0:16", ""]
+
+
+def test_scans_merges_and_cuts_against_loops(spark):
+    from sievelog.llm.common import cut, merged, running
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (0, 1, 255, 256, 257, 512, 513, 2000):
+        text = "".join(rng.choice(list("aé😀b "), 3 * n + 5))
+        rows.append((n, text, [(int(a), int(a) + int(rng.integers(1, 9))) for a in rng.integers(0, max(1, 3 * n - 5), n)]))
+    df = spark.createDataFrame(rows, "n int, text string, s array<struct<start:int,end:int>>")
+    scan = running(F.transform("s", lambda x: x["end"]), "int", lambda a, x: a + x, 0)
+    out = df.select("n", scan.alias("scan"), merged(F.col("s")).alias("m"), cut(F.col("text"), merged(F.col("s")), "#").alias("cut")).orderBy("n").collect()
+    for r, (n, text, s) in zip(out, rows):
+        assert r["scan"] == np.cumsum([0, *[b for _, b in s]])[: len(s)].tolist()
+        islands = []
+        for a, b in sorted(s):
+            if islands and a <= islands[-1][1]:
+                islands[-1][1] = max(islands[-1][1], b)
+            else:
+                islands.append([a, b])
+        assert [[x["start"], x["end"]] for x in r["m"]] == islands
+        want, at = "", 0
+        for a, b in islands:
+            want, at = want + text[at:a] + "#", b
+        assert r["cut"] == want + text[at:]
+
+
 def test_pii_checksums_context_and_redaction(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "part 123-45-6789", "call 212 555 1234 now", "item 212 555 1234", "é a@b.cd, 1.2.3.4!"]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, pii_spans string")
