@@ -158,6 +158,6 @@ def cut(text: Column, spans: Column, fill: str = "") -> Column:
             parts = F.transform(steps, lambda p: bind(t.substr(p["at"] + 1, p["to"] - p["at"]), lambda part: kept(part, p["s"], p["at"], p["to"])))
             return F.when(F.size(s) <= _STEP, kept(t, s, F.lit(0), F.length(t))).otherwise(F.array_join(parts, ""))
 
-        return F.when(F.size(spans) > 0, bind(spans, build)).otherwise(t)
+        return bind(spans, build)
 
-    return bind(text, whole)
+    return F.when(F.size(spans) > 0, bind(text, whole)).otherwise(text)

@@ -61,7 +61,7 @@ def found(text: Column, pattern: str, nearby: int = 0) -> Column:
                 return F.concat(F.right(before, F.lit(nearby)), F.get(m, i), F.left(after, F.lit(nearby)))
 
             begins = running(F.transform(m, lambda v, i: F.length(F.get(between, i)) + F.length(v)), "int", lambda a, x: a + x, 0)
-            spot = lambda b: F.transform(m, lambda v, i: bind(F.get(b, i) + F.length(F.get(between, i)), lambda at: F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("value"), around(i).alias("around"))))
+            spot = lambda b: F.transform(m, lambda v, i: F.struct((F.get(b, i) + F.length(F.get(between, i))).alias("start"), (F.get(b, i) + F.length(F.get(between, i)) + F.length(v)).alias("end"), v.alias("value"), around(i).alias("around")))
             return bind(begins, spot)
 
         return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(bind(F.split(text, pattern, -1), joined))
@@ -155,14 +155,6 @@ def _free(more: Column, base: Column) -> Column:
     return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(bind(F.sort_array(F.concat(mark(base, 0), mark(more, 1))), sift))
 
 
-def spans(text: Column, threshold: float = THRESHOLD) -> Column:
-    """All spans by kind as listed, then by place; those of the method's own kinds only where no base span lies."""
-    text = F.coalesce(text, F.lit(""))
-    base = F.concat(*[_accepted(text, k, threshold) for k in KINDS if k.name in BASE])
-    more = F.concat(*[_accepted(text, k, threshold) for k in KINDS if k.name not in BASE])
-    return bind(base, lambda b: bind(more, lambda m: F.concat(b, _free(m, b))))
-
-
 def listed(found_: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of the spans, joined by commas."""
     some = F.filter(found_, lambda x: x["kind"].isin(*kinds)) if kinds else found_
@@ -170,12 +162,19 @@ def listed(found_: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def with_spans(docs: DataFrame, name: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    return docs.withColumn(name, spans(F.col(text), threshold))
+    """docs with column `name`: all spans by kind as listed, then by place; those of the method's own kinds only where no base span lies."""
+    base, more = one_of("base_spans", [*docs.columns, name]), one_of("more_spans", [*docs.columns, name])
+    whole = F.coalesce(F.col(text), F.lit(""))
+    part = lambda own: F.concat(*[_accepted(whole, k, threshold) for k in KINDS if (k.name in BASE) == own])
+    # columns used twice are computed once; nested in one expression they would take the analyzer long
+    held = docs.withColumns({base: part(True), more: part(False)})
+    return held.withColumn(name, F.concat(base, _free(F.col(more), F.col(base)))).drop(base, more)
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = "<pii>", threshold: float = THRESHOLD) -> DataFrame:
     """docs with every span of their texts replaced by the mask; a null text stays null."""
     name = one_of("pii_spans", docs.columns)
-    held = with_spans(docs, name, text, threshold)
+    cover = one_of("pii_cover", [*docs.columns, name])
     bare = F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return held.withColumn(text, F.when(F.size(name) > 0, cut(F.col(text), merged(bare), mask)).otherwise(F.col(text))).drop(name)
+    held = with_spans(docs, name, text, threshold).withColumn(cover, merged(bare))
+    return held.withColumn(text, F.when(F.size(cover) > 0, cut(F.col(text), F.col(cover), mask)).otherwise(F.col(text))).select(*docs.columns)
