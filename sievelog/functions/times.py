@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _RFC3339 = re.compile(r"(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})")
-_STAMP = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})$"
+_STAMP = r"^\d{4}-\d{2}-\d{2}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d+)?(?:Z|[+-](?:(?:0\d|1[0-7]):[0-5]\d|18:00))$"
 
 
 def parse_time(text: str | int | None) -> int | None:
@@ -38,10 +38,18 @@ def format_time(nanos: int) -> str:
 
 
 def nanos_of(stamp: Column) -> Column:
-    """Nanoseconds of an RFC 3339 text; NULL if it is none."""
-    whole = F.try_to_timestamp(F.concat(F.regexp_extract(stamp, _STAMP, 1), F.regexp_extract(stamp, _STAMP, 3)), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    fraction = F.rpad(F.regexp_extract(stamp, _STAMP, 2), 9, "0").cast("long")
-    return F.when(stamp.rlike(_STAMP), F.unix_seconds(whole) * 1_000_000_000 + fraction)
+    """Nanoseconds of an RFC 3339 text; NULL if it is none.
+
+    One pattern tells whether it is one; then all parts but the fraction have
+    fixed places, counted from either end.
+    """
+    two = lambda at: F.substring(stamp, at, 2).cast("int")
+    zulu = stamp.endswith("Z")
+    zone = F.when(zulu, 0).otherwise(F.when(F.substring(stamp, -6, 1) == "-", -60).otherwise(60) * (60 * two(-5) + two(-2)))
+    seconds = F.unix_date(F.substring(stamp, 1, 10).try_cast("date")).cast("long") * 86_400 + (3600 * two(12) + 60 * two(15) + two(18) - zone)
+    said = F.length(stamp) - F.when(zulu, 21).otherwise(26)  # digits of the fraction
+    fraction = F.when(said > 0, F.rpad(stamp.substr(F.lit(21), F.least(said, F.lit(9))), 9, "0").cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(stamp.rlike(_STAMP), seconds * 1_000_000_000 + fraction)
 
 
 def timestamp_of(nanos: Column) -> Column:
@@ -51,7 +59,12 @@ def timestamp_of(nanos: Column) -> Column:
 
 def stamp_of(nanos: Column) -> Column:
     """RFC 3339 text of nanoseconds, in UTC."""
-    seconds = F.floor(nanos.cast("decimal(38,0)") / 1_000_000_000).cast("long")
-    fraction = F.rtrim(F.lpad((nanos - seconds * 1_000_000_000).cast("string"), 9, "0"), F.lit("0"))
-    head = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.concat(head, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")), F.lit("Z"))
+    nanos = nanos.cast("long")
+    rest = F.pmod(nanos, F.lit(1_000_000_000).cast("long"))
+    seconds = F.call_function("div", nanos - rest, F.lit(1_000_000_000).cast("long"))
+    of_day = F.pmod(seconds, F.lit(86_400).cast("long"))
+    day = F.date_from_unix_date(F.call_function("div", seconds - of_day, F.lit(86_400).cast("long")).cast("int"))
+    part = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    clock = F.concat_ws(":", part(F.floor(of_day / 3600)), part(F.floor(of_day % 3600 / 60)), part(of_day % 60))
+    fraction = F.when(rest != 0, F.concat(F.lit("."), F.rtrim(F.lpad(rest.cast("string"), 9, "0"), F.lit("0")))).otherwise(F.lit(""))
+    return F.concat(day.cast("string"), F.lit("T"), clock, fraction, F.lit("Z"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _NUMBER = r"^[+-]?(?:(?:\d+(?:_?\d)*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)$"
@@ -18,6 +18,16 @@ _BLANK = r"[\t\n\x0B\f\r \x85\xA0  -     　]"
 _UNICODE_SPACE = f"^{_BLANK}+|{_BLANK}+$"
 
 
+def configure(spark: SparkSession) -> None:
+    """Sets what the engine needs of a session: of JSON keys that repeat, the last one counts. The parser reads this when a query is planned, so it stays set."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def trimmed(text: Column) -> Column:
     """text without Unicode white space at its ends."""
     return F.regexp_replace(text, _UNICODE_SPACE, "")
@@ -87,26 +97,27 @@ def json_path(path: tuple[str, ...]) -> str | None:
     return out
 
 
-def body_value(body: Column, message: Column | None, path: tuple[str, ...]) -> Value:
-    """A leaf of the JSON body."""
+def leaf_of(body: Column, path: tuple[str, ...]) -> Column:
+    """The variant at a path of keys; NULL if there is none."""
     where = json_path(path)
-    if where is None:
-        # such keys have no path syntax: look the key up among the object's entries
-        leaf = body
-        for key in path:
-            entries = F.try_variant_get(leaf, "$", "map<string,variant>")
-            leaf = F.try_element_at(entries, F.lit(key))
-        at = lambda kind: F.try_variant_get(leaf, "$", kind)
-        raw = F.to_json(leaf)
-    else:
-        leaf = F.variant_get(body, where, "variant")
-        at = lambda kind: F.try_variant_get(body, where, kind)
-        raw = F.coalesce(F.get_json_object(message, "$" + "".join(f"['{k}']" for k in path)), F.to_json(leaf)) if message is not None and not any("'" in k for k in path) else F.to_json(leaf)
+    if where is not None:
+        return F.variant_get(body, where, "variant")
+    # such keys have no path syntax: look the key up among the object's entries
+    for key in path:
+        body = F.try_element_at(F.try_variant_get(body, "$", "map<string,variant>"), F.lit(key))
+    return body
+
+
+def body_value(leaf: Column, message: Column | None, path: tuple[str, ...]) -> Value:
+    """The value of a leaf of the JSON body. Its kind, number and text are read from the leaf alone, so a caller binds it and the body is parsed once."""
+    raw = F.to_json(leaf)
+    if message is not None and not any("'" in k for k in path):
+        raw = F.coalesce(F.get_json_object(message, "$" + "".join(f"['{k}']" for k in path)), raw)
+    at = lambda kind: F.try_variant_get(leaf, "$", kind)
     kind = F.schema_of_variant(leaf)
     is_text, is_truth, is_null = kind == "STRING", kind == "BOOLEAN", kind == "VOID"
     is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    number = at("double")
-    string = at("string")
+    number, string = at("double"), at("string")
     text = F.when(is_text, string).when(is_number, text_of_number(number)).when(is_truth, at("boolean").cast("string")).when(is_null, F.lit("")).when(kind.isNotNull(), raw)
     return Value(
         leaf.isNotNull(), text, F.when(is_number, number).when(is_text, number_of(string)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of pods up to which they are sent to every executor; beyond, Spark plans the join by size.
@@ -15,16 +15,21 @@ def _sized(pods: DataFrame, most: int) -> DataFrame:
 
 def enrich(records: DataFrame, pods: DataFrame, uid: str = "uid", broadcast_pods: int = BROADCAST_PODS) -> DataFrame:
     """records with the labels, annotations, node and image of their pod where it has them."""
-    p = _sized(pods.select(F.col("uid").alias(uid), F.col("labels").alias("pod_labels"), F.col("annotations").alias("pod_annotations"), F.col("node").alias("pod_node"), F.col("images").alias("pod_images")), broadcast_pods)
+    fields = F.struct("labels", "annotations", "node", "images").alias("pod_")
+    return enriched(records.join(_sized(pods.select(F.col("uid").alias(uid), fields), broadcast_pods), uid, "left"), F.col("pod_")).drop("pod_")
+
+
+def enriched(records: DataFrame, pod: Column) -> DataFrame:
+    """records with what pod, a struct that may be NULL, says of them; where it says nothing, their own stays."""
     kept = [c for c in records.columns if c not in ("_labels", "_annotations", "_node", "_image")]
     old = lambda c, t: F.col(c) if c in records.columns else F.lit(None).cast(t)
     some = lambda m: F.when(F.size(m) > 0, m)
-    return records.join(p, uid, "left").select(
+    return records.select(
         *kept,
-        F.coalesce(F.nullif("pod_node", F.lit("")), old("_node", "string")).alias("_node"),
-        F.coalesce(F.nullif(F.col("pod_images")[F.col("_container")], F.lit("")), old("_image", "string")).alias("_image"),
-        F.coalesce(some(F.col("pod_labels")), old("_labels", "map<string,string>")).alias("_labels"),
-        F.coalesce(some(F.col("pod_annotations")), old("_annotations", "map<string,string>")).alias("_annotations"),
+        F.coalesce(F.nullif(pod["node"], F.lit("")), old("_node", "string")).alias("_node"),
+        F.coalesce(F.nullif(pod["images"][F.col("_container")], F.lit("")), old("_image", "string")).alias("_image"),
+        F.coalesce(some(pod["labels"]), old("_labels", "map<string,string>")).alias("_labels"),
+        F.coalesce(some(pod["annotations"]), old("_annotations", "map<string,string>")).alias("_annotations"),
     )
 
 

@@ -117,23 +117,54 @@ def fields(records: DataFrame) -> DataFrame:
     return both.agg(*aggs, F.array_sort(F.array_distinct(F.concat(names, F.collect_set(F.when(F.col("field") == "body", F.col("value")))))).alias("fields"))
 
 
+#: The distinct values that statistics keep: name of the array, envelope column.
+_NAMES = {"namespaces": "_namespace", "pods": "_pod", "nodes": "_node", "containers": "_container"}
+
+
+def _body_keys(body: Column) -> Column:
+    return F.map_keys(F.try_variant_get(body, "$", "map<string,variant>"))
+
+
 def statistics(records: DataFrame, *keys: str) -> DataFrame:
-    """Per group: first and last time, number of records, the distinct names."""
-    names = [n for n in ("_namespace", "_pod", "_node", "_container") if n in records.columns]
-    return records.groupBy(*keys).agg(
-        F.min("_ts_nanos").alias("min_ts_nanos"), F.max("_ts_nanos").alias("max_ts_nanos"), F.count("*").alias("records"),
-        *[F.array_sort(F.collect_set(n)).alias(n.strip("_") + "s") for n in names],
+    """Per group: first and last time, number of records, the distinct names, label keys and top-level body keys, and their bytes."""
+    aggs = [F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))).alias(n) for n, c in _NAMES.items() if c in records.columns]
+    for n, c, of in (("labels", "_labels", F.map_keys), ("fields", "body", _body_keys)):
+        if c in records.columns:  # sets of keys repeat, so few of them are joined
+            aggs.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set(of(F.col(c)))))).alias(n))
+    return records.groupBy(*keys).agg(F.min("_ts_nanos").alias("min_ts_nanos"), F.max("_ts_nanos").alias("max_ts_nanos"), F.count("*").alias("records"), F.sum(record_bytes(records)).cast("long").alias("bytes"), *aggs)
+
+
+def merged_statistics(days: DataFrame, *keys: str) -> DataFrame:
+    """statistics() of groups from the statistics of their parts."""
+    arrays = [n for n in (*_NAMES, "labels", "fields") if n in days.columns]
+    return days.groupBy(*keys).agg(
+        F.min("min_ts_nanos").alias("min_ts_nanos"), F.max("max_ts_nanos").alias("max_ts_nanos"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(n)))).alias(n) for n in arrays],
     )
 
 
+def fields_of(days: DataFrame) -> DataFrame:
+    """fields() from statistics."""
+    whole = merged_statistics(days)
+    names = F.array(*[F.lit(n) for n in ENVELOPE])
+    return whole.select("namespaces", "pods", "nodes", "containers", "labels", F.array_sort(F.array_distinct(F.concat(names, "fields"))).alias("fields"))
+
+
 def watermarks(records: DataFrame, key: str = "source_key") -> DataFrame:
     """The highest offset of each source."""
     return records.groupBy(key).agg(F.max("offset").alias("offset"))
 
 
-def size_of(records: DataFrame) -> DataFrame:
-    """Total bytes of text in the records, by the estimate that seals a segment: names, message, body and 64 for each record."""
+def record_bytes(records: DataFrame) -> Column:
+    """Bytes of a record by the estimate that seals a segment: message, names, labels and body, and 64."""
     text = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("_message", "_namespace", "_pod", "_container", "_node") if c in records.columns]
+    if "_labels" in records.columns:
+        text.append(F.coalesce(F.aggregate(F.map_entries("_labels"), F.lit(0), lambda a, e: a + F.octet_length(e["key"]) + F.coalesce(F.octet_length(e["value"]), F.lit(0))), F.lit(0)))
     if "body" in records.columns:
         text.append(F.coalesce(F.octet_length(F.to_json("body")), F.lit(0)))
-    return records.agg(F.coalesce(F.sum(sum(text, F.lit(64))), F.lit(0)).cast("long").alias("bytes"))
+    return sum(text, F.lit(64))
+
+
+def size_of(records: DataFrame) -> DataFrame:
+    """Total of record_bytes()."""
+    return records.agg(F.coalesce(F.sum(record_bytes(records)), F.lit(0)).cast("long").alias("bytes"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import to_java
-from ..functions.values import Value, absent_value, body_value, number_value, text_value
+from ..functions.values import Value, absent_value, body_value, bound, configure, leaf_of, number_value, text_value
 from ..schema import TEXT_FIELDS
 from .language import All, And, Compare, Exists, Field, Not, Or, parse
 
@@ -31,9 +31,15 @@ def value_of(field: Field, columns: list[str]) -> Value:
     if field.kind in ("label", "annotation"):
         maps = "_labels" if field.kind == "label" else "_annotations"
         return text_value(F.col(maps)[F.lit(field.key)]) if maps in columns else absent_value()
-    if "body" not in columns:
-        return absent_value()
-    return body_value(F.col("body"), F.col("_message") if "_message" in columns else None, field.key)
+    return absent_value()
+
+
+def _on(field: Field, columns: list[str], test) -> Column:
+    """test(value of field). A leaf of the body is bound first, so that a test that looks at its kind, number and text parses the body once."""
+    if field.kind != "body" or "body" not in columns:
+        return test(value_of(field, columns))
+    message = F.col("_message") if "_message" in columns else None
+    return bound(leaf_of(F.col("body"), field.key), lambda leaf: test(body_value(leaf, message, field.key)))
 
 
 def _test(v: Value, op: str, x) -> Column:
@@ -64,23 +70,26 @@ def _compile(tree, columns: list[str], negated: bool) -> Column:
             parts = [_compile(x, columns, negated) for x in (left, right)]
             return reduce(Column.__and__ if isinstance(tree, And) != negated else Column.__or__, parts)
         case Exists(field):
-            v = value_of(field, columns)
-            return ~v.present | ~v.filled if negated else v.present & v.filled
+            return _on(field, columns, lambda v: ~v.present | ~v.filled if negated else v.present & v.filled)
         case Compare(field, op, x):
             if op in ("!=", "!~"):
                 op, negated = {"!=": "=", "!~": "=~"}[op], not negated
-            v = value_of(field, columns)
-            test = _test(v, op, x)
-            if not negated:
-                return test
-            # the text of a present field is never NULL, so only other tests need a default
-            plain = v.steady and (isinstance(x, str) or op == "=~")
-            return ~v.present | ~(test if plain else F.coalesce(test, F.lit(False)))
+
+            def outcome(v: Value) -> Column:
+                test = _test(v, op, x)
+                if not negated:
+                    return test
+                # the text of a present field is never NULL, so only other tests need a default
+                plain = v.steady and (isinstance(x, str) or op == "=~")
+                return ~v.present | ~(test if plain else F.coalesce(test, F.lit(False)))
+
+            return _on(field, columns, outcome)
     raise TypeError(tree)
 
 
 def predicate(query: str, records: DataFrame) -> Column:
     """The filter of a query text on records; NULL counts as false."""
+    configure(records.sparkSession)
     return _compile(parse(query), records.columns, False)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import nanos_of, timestamp_of
-from ..functions.values import trimmed
+from ..functions.values import bound, configure, trimmed
 
 _POD_DIR = r"(?:^|/)pods/([^/]*)/([^/]+)(?:/|$)"
 
@@ -72,11 +72,10 @@ def fold(parsed: DataFrame, file_keys: list[str], by_stream: bool = False) -> Da
 
 def body_of(message: Column, stream: Column) -> Column:
     """The JSON object a message is, or {stream: message}. The whole message must be one object: the parser alone would take what follows it."""
-    text = trimmed(message)
+    text = F.when(message.rlike(r"^[\{\s\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), trimmed(message))
     # in brackets, what follows an object is an error or a second element
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.variant_get(boxed, "$[1]", "variant").isNull()
-    obj = F.when(text.startswith("{") & alone, F.variant_get(boxed, "$[0]", "variant"))
+    boxed = F.when(text.startswith("{"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    obj = bound(boxed, lambda b: F.when(F.variant_get(b, "$[1]", "variant").isNull(), F.variant_get(b, "$[0]", "variant")))
     name = F.when(stream.isin("stdout", "stderr"), stream).otherwise(F.lit("stdout"))
     plain = F.parse_json(F.to_json(F.map_from_arrays(F.array(name), F.array(F.coalesce(message, F.lit(""))))))
     return F.coalesce(obj, plain)
@@ -84,6 +83,7 @@ def body_of(message: Column, stream: Column) -> Column:
 
 def records(files: DataFrame, node: str = "", by_stream: bool = False) -> DataFrame:
     """Records of (path, content) rows."""
+    configure(files.sparkSession)
     files = files.withColumns(pod_of(F.col("path"))).where("uid is not null")
     keys = ["path", "_namespace", "_pod", "uid", "_container"]
     out = fold(parse_lines(lines(files.select(*keys, "content"))), keys, by_stream)

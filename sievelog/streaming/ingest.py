@@ -1,30 +1,36 @@
-"""From growing container files to stored records, as one stream.
+"""From growing container files, or record batches on a wire, to stored records, as one stream.
 
-    tail -> parse -> fold partial lines (state) -> pod identity, body -> enrich -> store
+    tail -> parse -> fold partial lines (state) -> wait for metadata (state) -> pod identity, body -> enrich -> store
 
-ingest() does not wait for metadata: pods are a static table, and a record whose pod is not
-in it yet is stored un-enriched and is not opted out. wait_for_metadata() is not wired in.
-
-Source offsets and state are committed after the sink, so a restart repeats
-what was not stored and nothing else.
+Each micro-batch is one batch of the store, named by the stream and its number, so a batch
+that is repeated after a crash replaces itself; offsets and state are committed after it.
+What the store already holds of a source (its marks, but for those of this stream's own
+batches) is dropped, so a lost checkpoint stores nothing twice.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.times import timestamp_of
+from ..functions.times import nanos_of, timestamp_of
+from ..functions.values import configure
 from ..operators import enrich as pods_ops
-from ..schema import source_key
+from ..operators.dedup import above
+from ..schema import POD, RECORD, source_key
 from ..sources import cri
+from ..sources.store import LogStore
 from ..sources.tail import tail
 
+#: Records on the wire: times are texts.
+WIRE = T.ArrayType(T.StructType([f if f.name != "_ts" else T.StructField("_ts", T.StringType()) for f in RECORD.fields if f.name != "_ts_nanos"]))
 _FOLDED = "path string, dev long, ino long, offset long, _ts_nanos long, _stream string, _message string"
 
 
@@ -51,14 +57,14 @@ def fold_stream(parsed: DataFrame, by_stream: bool = False) -> DataFrame:
     return rows.groupBy(*keys).applyInPandasWithState(step, _FOLDED, "text string, at long, stream string", "append", GroupStateTimeout.NoTimeout)
 
 
-def to_records(folded: DataFrame, node: str = "") -> DataFrame:
-    """Records of folded lines: source, envelope and body; uid stays for enrichment."""
+def to_records(folded: DataFrame, node: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of folded lines: source, envelope and body; uid stays for enrichment, and the columns to keep."""
     rows = folded.withColumns(cri.pod_of(F.col("path"))).where("uid is not null")
     source = F.struct(F.lit(node).alias("node"), F.col("path"), F.col("dev").cast("decimal(20,0)").alias("dev"), F.col("ino").cast("decimal(20,0)").alias("ino"), F.lit(0).cast("long").alias("ctime"))
     empty = F.create_map().cast("map<string,string>")
     return rows.select(
         source.alias("source"), source_key(source).alias("source_key"), "offset", timestamp_of(F.col("_ts_nanos")).alias("_ts"), "_ts_nanos", "_namespace", "_pod", "_container", F.nullif(F.lit(node), F.lit("")).alias("_node"),
-        F.lit(None).cast("string").alias("_image"), F.nullif("_stream", F.lit("")).alias("_stream"), empty.alias("_labels"), empty.alias("_annotations"), "_message", cri.body_of(F.col("_message"), F.col("_stream")).alias("body"), "uid",
+        F.lit(None).cast("string").alias("_image"), F.nullif("_stream", F.lit("")).alias("_stream"), empty.alias("_labels"), empty.alias("_annotations"), "_message", cri.body_of(F.col("_message"), F.col("_stream")).alias("body"), "uid", *keep,
     )
 
 
@@ -90,11 +96,75 @@ def wait_for_metadata(records: DataFrame, pods: DataFrame, wait_ms: int = 30_000
     return both.groupBy("uid").applyInPandasWithState(step, "uid string, record string, pod string", "pod string, open boolean, held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def ingest(spark: SparkSession, root: str, store: str, checkpoint: str, *, node: str = "", pods: DataFrame | None = None, opt_out: str = "", exclude: tuple[str, ...] = (), by_stream: bool = False, trigger: dict | None = None, **options):
-    """Starts the stream from the files under root into the store. pods: a static table of pods, joined if given."""
-    lines = tail(spark, root, exclude=",".join(exclude), **options)
-    rows = to_records(fold_stream(cri.parse_lines(lines), by_stream), node)
-    if pods is not None:
-        rows = pods_ops.enrich(pods_ops.without_opted_out(rows, pods, opt_out), pods)
-    rows = rows.drop("uid").withColumn("date", F.date_from_unix_date(F.floor(F.col("_ts_nanos").cast("decimal(20,0)") / 86_400_000_000_000).cast("int")))
-    return rows.writeStream.format("parquet").partitionBy("date").option("path", f"{store.rstrip('/')}/records").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def _identity(spark: SparkSession, checkpoint: str) -> str:
+    """A name kept beside a checkpoint, as long as that lives."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/stream-name")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        with_ = fs.open(at)
+        name = jvm.org.apache.commons.io.IOUtils.toString(with_, "UTF-8")
+        with_.close()
+        return name
+    name = f"s{uuid.uuid4().hex[:16]}"
+    out = fs.create(at)
+    out.write(bytearray(name.encode()))
+    out.close()
+    return name
+
+
+def stored(records: DataFrame, store: LogStore, checkpoint: str, trigger: dict | None = None):
+    """Starts a stream of records (source_key, offset, …) into the store, each record above its source's mark."""
+    name = _identity(records.sparkSession, checkpoint)
+    days = store.catalog()
+    if days is not None:
+        others = days.where(~F.col("batch").startswith(f"{name}-")).select(F.explode("marks").alias("source_key", "offset"))
+        records = above(records, others.groupBy("source_key").agg(F.max("offset").alias("offset")))
+
+    def commit(batch: DataFrame, number: int) -> None:
+        store.write(batch, batch=f"{name}-{number:010d}")
+
+    return records.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ingest(spark: SparkSession, root: str, store: str, checkpoint: str, *, node: str = "", pods: DataFrame | None = None, opt_out: str = "", exclude: tuple[str, ...] = (), by_stream: bool = False, wait_ms: int = 30_000, trigger: dict | None = None, **options):
+    """Starts the stream from the files under root into the store.
+
+    pods: a table of pods, joined if given; or a stream of them (uid, labels,
+    annotations, node, images): then lines wait for their pod, wait_ms at most, and
+    opting out is decided by what arrived.
+    """
+    configure(spark)
+    folded = fold_stream(cri.parse_lines(tail(spark, root, exclude=",".join(exclude), **options)), by_stream)
+    if pods is not None and pods.isStreaming:
+        rows = _gated(folded, pods, node, opt_out, wait_ms)
+    else:
+        rows = to_records(folded, node)
+        if pods is not None:
+            rows = pods_ops.enrich(pods_ops.without_opted_out(rows, pods, opt_out), pods)
+    return stored(rows.drop("uid"), LogStore(spark, store), checkpoint, trigger)
+
+
+def _gated(folded: DataFrame, pods: DataFrame, node: str, opt_out: str, wait_ms: int) -> DataFrame:
+    """Records of folded lines that waited for their pod. The lines wait as they were read; bodies are built after."""
+    lines = folded.withColumn("uid", cri.pod_of(F.col("path"))["uid"]).where("uid is not null")
+    come = pods.select("uid", F.to_json(F.struct(*[f.name for f in POD.fields])).alias("pod"))
+    out = wait_for_metadata(lines.select("uid", F.to_json(F.struct(*folded.columns)).alias("record")), come, wait_ms)
+    out = out.select(F.from_json("record", folded.schema).alias("r"), F.from_json("pod", POD).alias("pod"))
+    if opt_out:
+        out = out.where(F.coalesce(F.col("pod.annotations")[F.lit(opt_out)] != "false", F.lit(True)))
+    return pods_ops.enriched(to_records(out.select("r.*", "pod"), node, keep=("pod",)), F.col("pod")).drop("pod")
+
+
+def from_wire(values: DataFrame, value: str = "value") -> DataFrame:
+    """Records of a frame or stream of JSON values (binary or text): one record or an array of records each, by the wire names. Malformed ones are left out.
+
+    Any source with such a column will do: Kafka, a socket, files.
+    """
+    configure(values.sparkSession)
+    text = F.col(value).cast("string")
+    boxed = F.when(F.ltrim(text).startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    each = values.select(F.explode(F.from_json(boxed, WIRE)).alias("r")).select("r.*")
+    nanos = nanos_of(F.col("_ts"))
+    rows = each.withColumn("_ts_nanos", nanos).where("_ts_nanos is not null and source is not null and `offset` is not null")
+    return rows.withColumns({"_ts": timestamp_of(F.col("_ts_nanos")), "source_key": source_key(F.col("source")), "_message": F.coalesce("_message", F.lit(""))})
