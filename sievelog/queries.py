@@ -6,13 +6,18 @@ container, props the JSON body of three records in four.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.times import stamp_of
 from .operators import dedup, enrich, search
 from .plans.compiler import predicate, truth
+from .schema import shared_dir, source_key
 from .sources import cri
+from .sources.store import LogStore, as_json
+from .streaming.ingest import from_wire, stored
 
 _NS = "case user_id % 3 when 0 then 'prod' when 1 then 'staging' else 'dev' end"
 
@@ -33,6 +38,19 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("body", cri.body_of(F.col("_message"), F.col("_stream")))
 
 
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """logs() with a JSON body of numbers, texts, truth values, null, objects and a key that repeats."""
+    rows = logs(spark, sf_dir).drop("body")
+    n = lambda x: x.cast("string")
+    user, event = F.col("source_key"), F.col("event_id")
+    text = [
+        F.lit('{"user":{"id":'), n(user), F.lit(',"name":"u'), n(user), F.lit('"},"ok":'), F.when(event % 2 == 0, "true").otherwise("false"), F.lit(',"note":null,"tags":{"a.b":"t'), n(event % 10),
+        F.lit('"},"code":" '), n(event % 600), F.lit(' ","ratio":'), n(user / 4), F.lit(',"größe":'), n(event % 7), F.lit(',"dup":1,"dup":'), n(event % 3), F.lit("}"),
+    ]
+    rows = rows.withColumn("_message", F.concat(*text))
+    return rows.withColumn("body", cri.body_of(F.col("_message"), F.col("_stream")))
+
+
 #: The same view for DuckDB.
 LOGS = f"""logs as (
   select event_id, ts as _ts, epoch_us(ts) * 1000 as _ts_nanos, {_NS} as _namespace, 'pod-' || user_id::varchar as _pod, event_type as _container,
@@ -78,6 +96,27 @@ FILTERS: dict[str, tuple[str, str]] = {
     "text_body": ('stdout : "view" or body.stderr', "(k is null and _stream = 'stdout' and contains(_message, 'view')) or (k is null and _stream = 'stderr')"),
     "time_in_expression": ('_ts < 1704500000000000000 and _container = "error"', "_ts_nanos::double < 1704500000000000000::double and _container = 'error'"),
 }
+#: The same on records with a body of many kinds: rich().
+RICH_FILTERS: dict[str, tuple[str, str]] = {
+    "nested_path": ("user.id = 42 or body.user.name = \"u7\"", "user_id in (42, 7)"),
+    "quoted_key": ('tags["a.b"] = "t3" and not tags.a', "event_id % 10 = 3"),
+    "json_bool": ("ok = true", "event_id % 2 = 0"),
+    "json_bool_text": ('ok =~ /^fal/ and ok : "als" and ok = "false" and ok != true', "event_id % 2 = 1"),
+    "json_null": ('note = "" and not note and note != "x" and _container = "error"', "_container = 'error'"),
+    "text_as_number": ('code >= 500 and code < 510.5 and code != "505"', "event_id % 600 between 500 and 510"),
+    "fraction": ("ratio > 12.5 and ratio <= 1.75e1 and not ratio = 13", "user_id > 50 and user_id <= 70 and user_id <> 52"),
+    "fraction_text": ('ratio : ".25" or ratio = "3.5"', "user_id % 4 = 1 or user_id = 14"),
+    "repeated_keys": ("dup = 2", "event_id % 3 = 2"),
+    "object_text": ('user : "\\"u9\\"" and user', "user_id = 9"),
+    "keywords_any_case": ('_namespace = "prod" AND NOT ok = TRUE Or _container = "error" aNd ok', "(_namespace = 'prod' and event_id % 2 = 1) or _container = 'error'"),
+    "unicode_names": ("größe >= 5", "event_id % 7 >= 5"),
+    "string_escapes": ("_container = 'cl\\ick' or _container = \"vi\\ew\"", "_container in ('click', 'view')"),
+    "regex_of_string": (r'_pod =~ "-1\\d$" or _pod =~ "pod-\d"', "regexp_matches(_pod, '-1[0-9]$')"),
+    "regex_literal_escapes": (r"_message =~ /\"name\":\"u1\d?\"/ and _node !~ /node-[^0-3]/", "user_id in (1, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19) and user_id % 5 < 4"),
+    "number_forms": ("user.id >= +5e1 and user.id < 60.0and ratio > -1", "user_id >= 50 and user_id < 60"),
+    "all_operators": ('_pod != "pod-1" and _pod !~ /9$/ and _container > "c" and _container >= "click" and _container < "z" and _container <= "view" and _node : "node" and user.id =~ /^[0-4]+$/', "user_id <> 1 and not regexp_matches(_pod, '9$') and _container in ('click', 'error', 'purchase', 'signup', 'view') and regexp_matches(user_id::varchar, '^[0-4]+$')"),
+    "white_space": ("\u2003user\u00a0.\tid\n=\u300042 and tags [ \"a.b\" ] : \"t\"", "user_id = 42"),
+}
 _SHOWN = ["event_id", "_ts_nanos", "_namespace", "_pod", "_container", "_message"]
 _SHOWN_SQL = ", ".join(_SHOWN)
 
@@ -99,6 +138,10 @@ for _name, (_text, _where) in FILTERS.items():
     _query(_name, f"select {_SHOWN_SQL} from logs where {_where}")(lambda spark, d, text=_text: search.matching(logs(spark, d), text).select(*_SHOWN))
 
 
+for _name, (_text, _where) in RICH_FILTERS.items():
+    _query(_name, f"select event_id, _pod, _container from logs, (select event_id as e_, user_id from events) where event_id = e_ and ({_where})")(lambda spark, d, text=_text: search.matching(rich(spark, d), text).select("event_id", "_pod", "_container"))
+
+
 @_query("match_all", "select count(*) as n from logs")
 def match_all(spark, d):
     return search.matching(logs(spark, d), "").agg(F.count("*").alias("n"))
@@ -152,6 +195,14 @@ def union_open_buffer(spark, d):
     return search.matching(both, "").groupBy("_namespace").agg(F.count("*").alias("n"), F.max("_ts_nanos").alias("last"))
 
 
+@_query("open_buffer_range", f"select {_SHOWN_SQL} from logs where {_RANGE} and _namespace = 'dev'")
+def open_buffer_range(spark, d):
+    """A time range over stored and open records."""
+    rows = logs(spark, d)
+    both = search.with_open(rows.where(F.col("_ts_nanos") < int(_SEALED)), rows.where(F.col("_ts_nanos") >= int(_OPEN)))
+    return search.matching(both, '_namespace = "dev"', START, END).select(*_SHOWN)
+
+
 def _histogram_sql(where: str, start: int, end: int, buckets: int) -> str:
     width = (end - start) // buckets
     return f"""select b.bucket, {start} + b.bucket * {width} as bucket_start, coalesce(c.n, 0) as count
@@ -196,24 +247,92 @@ def source_watermarks(spark, d):
     return search.watermarks(logs(spark, d))
 
 
-@_query("buffer_bytes", "select cast(sum(64 + strlen(_message) + strlen(_namespace) + strlen(_pod) + strlen(_container) + strlen(_node)) as bigint) as bytes from logs")
+_BYTES = """64 + strlen(_message) + strlen(_namespace) + strlen(_pod) + strlen(_container) + strlen(_node) + strlen('tier') + strlen(tier) + strlen('app.io/name') + strlen(_container)
+    + case when k is null then strlen(_stream) + strlen(_message) + 7 else strlen(k::varchar) + 6 end"""
+
+
+@_query("buffer_bytes", f"select cast(sum({_BYTES}) as bigint) as bytes from logs")
 def buffer_bytes(spark, d):
-    return search.size_of(logs(spark, d).drop("body"))
+    return search.size_of(logs(spark, d))
+
+
+@_query("batch_watermarks", 'select event_id // 1000 as batch, source_key, max("offset") as "offset" from logs group by 1, 2')
+def batch_watermarks(spark, d):
+    """The highest offset of each source in each batch, and over them."""
+    rows = logs(spark, d).withColumn("batch", F.floor(F.col("event_id") / 1000).cast("long"))
+    return rows.groupBy("batch", "source_key").agg(F.max("offset").alias("offset"))
+
+
+@_query("field_sets", """select string_agg(distinct _namespace, ',' order by _namespace) as namespaces, string_agg(distinct _container, ',' order by _container) as containers, 'app.io/name,tier' as labels,
+    '_container,_image,_message,_namespace,_node,_pod,_stream,_ts,k,stderr,stdout' as fields from logs""")
+def field_sets(spark, d):
+    """Sorted distinct names, one row."""
+    found = search.fields(logs(spark, d))
+    return found.select(*[F.array_join(c, ",").alias(c) for c in ("namespaces", "containers", "labels", "fields")])
+
 
+@_query("source_keys", "select distinct 'n' || (user_id % 5)::varchar || '|/' || event_type || '|7|' || user_id::varchar || '|0' as source_key from events")
+def source_keys(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    node, path = F.concat(F.lit("n"), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("/"), "event_type")
+    source = F.struct(node.alias("node"), path.alias("path"), F.lit(7).cast("decimal(20,0)").alias("dev"), F.col("user_id").cast("decimal(20,0)").alias("ino"), F.lit(0).cast("long").alias("ctime"))
+    return e.select(F.translate(source_key(source), "\u0000", "|").alias("source_key")).distinct()
 
-@_query("segment_prune", f"select {_SHOWN_SQL} from logs where _namespace = 'prod' and _node = 'node-2' and _container = 'purchase'")
+
+def _store(spark: SparkSession, d: str) -> LogStore:
+    """A store in the shared folder with the logs in two batches."""
+    store = LogStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = logs(spark, d)
+    for part in (rows.where("event_id % 3 = 0"), rows.where("event_id % 3 > 0")):
+        store.write(part, files=4)
+    return store
+
+
+@_query("segment_prune", f"select {_SHOWN_SQL} from logs where _namespace = 'prod' and _node = 'node-2' and _container = 'purchase' and {_RANGE}")
 def segment_prune(spark, d):
-    """Days whose statistics cannot match are left out by a semi join before the search."""
-    rows = logs(spark, d).withColumn("date", F.col("_ts").cast("date"))
-    days = search.statistics(rows, "date").where(F.array_contains("namespaces", "prod") & F.array_contains("nodes", "node-2") & F.array_contains("containers", "purchase")).select("date")
-    return search.matching(rows.join(days, "date", "left_semi"), '_namespace="prod" and _node="node-2" and _container="purchase"').select(*_SHOWN)
+    """A search that asks the store's catalog which batches and days can match."""
+    return _store(spark, d).query('_namespace="prod" and _node="node-2" and _container="purchase"', START, END).select(*_SHOWN)
+
+
+@_query("store_compacted", f"select {_SHOWN_SQL} from logs where _stream = 'stderr'")
+def store_compacted(spark, d):
+    """A search of a store some of whose batches were joined."""
+    store = _store(spark, d)
+    store.compact("2024-01-06", files=2)
+    store.vacuum()
+    return store.query('_stream = "stderr"').select(*_SHOWN)
+
+
+@_query("store_catalog", f"select cast(_ts as date) as date, min(_ts_nanos) as min_ts_nanos, max(_ts_nanos) as max_ts_nanos, count(*) as records, cast(sum({_BYTES}) as bigint) as bytes, string_agg(distinct _container, ',' order by _container) as containers, 'app.io/name,tier' as labels, string_agg(distinct case when k is null then _stream else 'k' end, ',' order by case when k is null then _stream else 'k' end) as fields from logs group by 1")
+def store_catalog(spark, d):
+    days = _store(spark, d).statistics()
+    return days.select("date", "min_ts_nanos", "max_ts_nanos", "records", "bytes", *[F.array_join(c, ",").alias(c) for c in ("containers", "labels", "fields")])
+
 
+@_query("store_watermarks", 'select source_key::varchar as source_key, max("offset") as "offset" from logs group by 1')
+def store_watermarks(spark, d):
+    return _store(spark, d).watermarks()
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
+
+@_query("record_assembly", """, l as (select *, event_id % 5 = 0 as partial, strlen(strftime(_ts, '%Y-%m-%dT%H:%M:%S')) + case when _ts_nanos % 1000000000 = 0 then 0 else 1 + strlen(rtrim(lpad((_ts_nanos % 1000000000)::varchar, 9, '0'), '0')) end + 1 + strlen(' ' || _stream || ' F ' || _message) + 1 as size from logs where _container = 'error'),
+    g as (select *, cast(sum(size) over (partition by source_key order by event_id) as bigint) as ends, coalesce(sum(case when partial then 0 else 1 end) over (partition by source_key order by event_id rows between unbounded preceding and 1 preceding), 0) as grp from l)
+    select any_value(_namespace) as _namespace, any_value(_pod) as _pod, max(ends) as "offset", arg_min(_ts_nanos, event_id) as _ts_nanos, string_agg(_message, '' order by event_id) as _message from g group by source_key, grp having bool_or(not partial)""")
+def record_assembly(spark, d):
+    """Whole files of lines, a file for each user, as records."""
+    rows = _lines(spark, d, _container="error").withColumnRenamed("line", "said")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "said"))), lambda x: F.concat(x["said"], F.lit("\n"))), "")
+    path = F.concat(F.lit("/var/log/pods/"), "_namespace", F.lit("_"), "_pod", F.lit("_u/app/0.log"))
+    files = rows.groupBy("_namespace", "_pod").agg(text.alias("content")).select(path.alias("path"), F.encode("content", "UTF-8").alias("content"))
+    return cri.records(files).select("_namespace", "_pod", "offset", "_ts_nanos", "_message")
+
+
+def _lines(spark: SparkSession, d: str, **only: str) -> DataFrame:
     """CRI lines made of the events: every fifth is partial and continued by the next event of its user."""
     rows = logs(spark, d)
+    for name, value in only.items():
+        rows = rows.where(F.col(name) == value)
     tag = F.when(F.col("event_id") % 5 == 0, "P").otherwise("F")
-    return rows.select("source_key", "event_id", F.concat_ws(" ", stamp_of(F.col("_ts_nanos")), "_stream", tag, "_message").alias("line"))
+    return rows.select("source_key", "event_id", *(["_namespace", "_pod"] if only else []), F.concat_ws(" ", stamp_of(F.col("_ts_nanos")), "_stream", tag, "_message").alias("line"))
 
 
 @_query("cri_parse", "select event_id, _ts_nanos, _stream, event_id % 5 = 0 as partial, _message from logs")
@@ -295,23 +414,42 @@ def follow_boundary_dedup(spark, d):
 @_query("wire_json", "select event_id, _pod, _message from logs")
 def wire_json(spark, d):
     """Records written as JSON lines and read again."""
-    from .sources.store import as_json
-
     rows = logs(spark, d).drop("body", "source_key")
     back = F.from_json("line", "_pod string, _message string, offset long")
     return as_json(rows).select(back.alias("x")).select((F.col("x.offset") - 1).alias("event_id"), "x._pod", "x._message")
 
 
+@_query("wire_records", "select event_id + 1 as \"offset\", _pod, _ts_nanos, _message, k from logs")
+def wire_records(spark, d):
+    """Records as JSON values on a wire, some malformed, read back with their bodies."""
+    rows = logs(spark, d)
+    source = F.struct(F.lit("n").alias("node"), F.col("_pod").alias("path"), F.lit(1).cast("decimal(20,0)").alias("dev"), F.lit(2).cast("decimal(20,0)").alias("ino"), F.lit(0).cast("long").alias("ctime"))
+    good = as_json(rows.withColumn("source", source)).select(F.encode("line", "UTF-8").alias("value"))
+    bad = spark.createDataFrame([("{",), ("",), ("[1]",), ('{"offset":"x"}',), ('{"offset":3}',)], "value string").select(F.encode("value", "UTF-8").alias("value"))
+    return from_wire(good.unionByName(bad)).select("offset", "_pod", "_ts_nanos", "_message", F.try_variant_get("body", "$.k", "long").alias("k"))
+
+
+@_query("stream_store", f"select {_SHOWN_SQL} from logs")
+def stream_store(spark, d):
+    """Two streams and a table write one store; the second stream brings again what the first one stored."""
+    rows = logs(spark, d).withColumns({"arrival": F.col("event_id"), "source_key": F.col("source_key").cast("string")}).drop("body", "_labels", "_annotations")
+    store = LogStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    last = F.col("event_id") % 10 == 9
+    path, first = _stream_of(spark, d, rows.where(~last & (F.col("source_key") > "5")), "streamed")
+    stored(first.drop("arrival"), store, f"{path}/one").awaitTermination()
+    store.write(rows.where(~last & (F.col("source_key") <= "5")).drop("arrival"), files=2)
+    again, second = _stream_of(spark, d, rows.where(~last), "streamed")
+    stored(second.drop("arrival"), store, f"{again}/two").awaitTermination()
+    late = store.records().unionByName(rows.where(last).drop("arrival"), allowMissingColumns=True)
+    return late.select(*_SHOWN)
+
+
 def _stream_of(spark: SparkSession, d: str, rows: DataFrame, name: str) -> DataFrame:
     """rows as a stream of two files in the shared folder, written one after the other in order of arrival."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/sievelog"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     middle = rows.agg(F.percentile_approx("arrival", 0.5)).first()[0]
     for part in (rows.where(F.col("arrival") <= middle), rows.where(F.col("arrival") > middle)):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")
     return path, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 

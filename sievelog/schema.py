@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,3 +38,13 @@ def source_key(source: Column) -> Column:
 def normalized(records: DataFrame) -> DataFrame:
     """Empty envelope texts as NULL, once, so that predicates on bare columns reach the scan."""
     return records.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in TEXT_FIELDS[:-1] if c in records.columns})
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints/sievelog"
+    return base.rstrip("/")

@@ -72,6 +72,7 @@ def fold(parsed: DataFrame, file_keys: list[str], by_stream: bool = False) -> Da
 
 def body_of(message: Column, stream: Column) -> Column:
     """The JSON object a message is, or {stream: message}. The whole message must be one object: the parser alone would take what follows it."""
+    configure(SparkSession.active())
     text = F.when(message.rlike(r"^[\{\s\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), trimmed(message))
     # in brackets, what follows an object is an error or a second element
     boxed = F.when(text.startswith("{"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
@@ -83,7 +84,6 @@ def body_of(message: Column, stream: Column) -> Column:
 
 def records(files: DataFrame, node: str = "", by_stream: bool = False) -> DataFrame:
     """Records of (path, content) rows."""
-    configure(files.sparkSession)
     files = files.withColumns(pod_of(F.col("path"))).where("uid is not null")
     keys = ["path", "_namespace", "_pod", "uid", "_container"]
     out = fold(parse_lines(lines(files.select(*keys, "content"))), keys, by_stream)

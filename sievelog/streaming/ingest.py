@@ -34,27 +34,72 @@ WIRE = T.ArrayType(T.StructType([f if f.name != "_ts" else T.StructField("_ts",
 _FOLDED = "path string, dev long, ino long, offset long, _ts_nanos long, _stream string, _message string"
 
 
+_LINES = ["path", "dev", "ino", "offset", "_ts_nanos", "_stream", "_message"]
+
+
+def _folded(rows: pd.DataFrame, open_: tuple[str, int, str]) -> tuple[list[tuple], tuple[str, int, str]]:
+    """The whole lines of one file generation, and the partial line (text, time, stream) that stays open."""
+    text, at, stream = open_
+    out = []
+    for r in rows.sort_values("offset", kind="stable").itertuples(index=False):
+        if r.partial:
+            if not text:
+                at, stream = int(r.nanos), r.stream_
+            text += r.message
+            continue
+        out.append((r.path, int(r.dev), int(r.ino), int(r.offset), at if text else int(r.nanos), stream if text else r.stream_, text + r.message))
+        text = ""
+    return out, (text, at, stream)
+
+
+def _parts(parsed: DataFrame) -> DataFrame:
+    return parsed.select("path", "dev", "ino", "offset", F.col("_ts_nanos").alias("nanos"), F.col("_stream").alias("stream_"), "partial", F.col("_message").alias("message"))
+
+
 def fold_stream(parsed: DataFrame, by_stream: bool = False) -> DataFrame:
     """cri.fold() on a stream: the open partial line of a file generation is its state."""
-    keys = ["path", "dev", "ino", *(["_stream"] if by_stream else [])]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, at, stream = state.get if state.exists else ("", 0, "")
-        out = []
-        for r in pd.concat(list(batches), ignore_index=True).sort_values("offset", kind="stable").itertuples(index=False):
-            offset, nanos, said, partial, message = r.offset, r.nanos, r.stream_, r.partial, r.message
-            if partial:
-                if not text:
-                    at, stream = int(nanos), said
-                text += message
-                continue
-            out.append((*key[:3], int(offset), at if text else int(nanos), stream if text else said, text + message))
-            text = ""
-        state.update((text, at, stream))
-        yield pd.DataFrame(out, columns=["path", "dev", "ino", "offset", "_ts_nanos", "_stream", "_message"])
-
-    rows = parsed.select(*keys, "offset", F.col("_ts_nanos").alias("nanos"), F.col("_stream").alias("stream_"), "partial", F.col("_message").alias("message"))
-    return rows.groupBy(*keys).applyInPandasWithState(step, _FOLDED, "text string, at long, stream string", "append", GroupStateTimeout.NoTimeout)
+        out, left = _folded(pd.concat(list(batches), ignore_index=True), state.get if state.exists else ("", 0, ""))
+        state.update(left)
+        yield pd.DataFrame(out, columns=_LINES)
+
+    keys = ["path", "dev", "ino", *(["stream_"] if by_stream else [])]
+    return _parts(parsed).groupBy(*keys).applyInPandasWithState(step, _FOLDED, "text string, at long, stream string", "append", GroupStateTimeout.NoTimeout)
+
+
+def fold_and_wait(parsed: DataFrame, pods: DataFrame, by_stream: bool = False, wait_ms: int = 30_000) -> DataFrame:
+    """Folded lines with their uid and pod (JSON, or NULL), held until a row of the pod has arrived or wait_ms have passed.
+
+    fold_stream() and wait_for_metadata() in one state by uid, as a file belongs to one
+    pod and Spark chains no two states of this kind. pods: a stream of (uid, pod).
+    """
+    lines = _parts(parsed).withColumn("uid", cri.pod_of(F.col("path"))["uid"]).where("uid is not null").withColumn("pod", F.lit(None).cast("string"))
+    none = {f.name: F.lit(None).cast(f.dataType) for f in lines.schema.fields if f.name not in ("uid", "pod")}
+    both = lines.unionByName(pods.select("uid", "pod").withColumns(none))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pod, passed, partial, held = state.get if state.exists else (None, False, "[]", "[]")
+        waiting = [tuple(x) for x in json.loads(held)]
+        open_ = {tuple(k): tuple(v) for k, v in json.loads(partial)}
+        if state.hasTimedOut:
+            passed = True
+        else:
+            new = pd.concat(list(batches), ignore_index=True)
+            known = new["pod"].dropna()
+            pod = known.iloc[-1] if len(known) else pod
+            for k, rows in new[new["path"].notna()].groupby(["path", "dev", "ino", *(["stream_"] if by_stream else [])]):
+                k = tuple(x if isinstance(x, str) else int(x) for x in k)
+                out, open_[k] = _folded(rows, open_.get(k, ("", 0, "")))
+                waiting += out
+        if pod is not None or passed:
+            yield pd.DataFrame([(key[0], pod, *x) for x in waiting], columns=["uid", "pod", *_LINES])
+            waiting = []
+        state.update((pod, passed, json.dumps([[k, v] for k, v in open_.items() if v[0]]), json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutDuration(wait_ms)
+
+    return both.groupBy("uid").applyInPandasWithState(step, f"uid string, pod string, {_FOLDED}", "pod string, passed boolean, partial string, held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def to_records(folded: DataFrame, node: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -135,27 +180,20 @@ def ingest(spark: SparkSession, root: str, store: str, checkpoint: str, *, node:
     opting out is decided by what arrived.
     """
     configure(spark)
-    folded = fold_stream(cri.parse_lines(tail(spark, root, exclude=",".join(exclude), **options)), by_stream)
+    parsed = cri.parse_lines(tail(spark, root, exclude=",".join(exclude), **options))
     if pods is not None and pods.isStreaming:
-        rows = _gated(folded, pods, node, opt_out, wait_ms)
+        come = pods.select("uid", F.to_json(F.struct(*[f.name for f in POD.fields])).alias("pod"))
+        lines = fold_and_wait(parsed, come, by_stream, wait_ms).drop("uid").withColumn("pod", F.from_json("pod", POD))
+        if opt_out:
+            lines = lines.where(F.coalesce(F.col("pod.annotations")[F.lit(opt_out)] != "false", F.lit(True)))
+        rows = pods_ops.enriched(to_records(lines, node, keep=("pod",)), F.col("pod")).drop("pod")
     else:
-        rows = to_records(folded, node)
+        rows = to_records(fold_stream(parsed, by_stream), node)
         if pods is not None:
             rows = pods_ops.enrich(pods_ops.without_opted_out(rows, pods, opt_out), pods)
     return stored(rows.drop("uid"), LogStore(spark, store), checkpoint, trigger)
 
 
-def _gated(folded: DataFrame, pods: DataFrame, node: str, opt_out: str, wait_ms: int) -> DataFrame:
-    """Records of folded lines that waited for their pod. The lines wait as they were read; bodies are built after."""
-    lines = folded.withColumn("uid", cri.pod_of(F.col("path"))["uid"]).where("uid is not null")
-    come = pods.select("uid", F.to_json(F.struct(*[f.name for f in POD.fields])).alias("pod"))
-    out = wait_for_metadata(lines.select("uid", F.to_json(F.struct(*folded.columns)).alias("record")), come, wait_ms)
-    out = out.select(F.from_json("record", folded.schema).alias("r"), F.from_json("pod", POD).alias("pod"))
-    if opt_out:
-        out = out.where(F.coalesce(F.col("pod.annotations")[F.lit(opt_out)] != "false", F.lit(True)))
-    return pods_ops.enriched(to_records(out.select("r.*", "pod"), node, keep=("pod",)), F.col("pod")).drop("pod")
-
-
 def from_wire(values: DataFrame, value: str = "value") -> DataFrame:
     """Records of a frame or stream of JSON values (binary or text): one record or an array of records each, by the wire names. Malformed ones are left out.
 
