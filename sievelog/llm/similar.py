@@ -14,7 +14,10 @@ Texts with one set are one class from the start.
 A bucket's tiles are first compared with their least members only; what that joins is one
 component. In the second round the rows of a bucket whose component is not that of its least
 member are compared with all of it, so a large family of copies costs its size and not its
-square. A row that asks visits every tile; the others stay in theirs.
+square. A row that asks visits every tile; the others stay in theirs. A row that finds more than
+FEW others puts out no pairs but joins them to a family (edges of a forest). A family's sets
+meet in tiles, are compared there exactly, and put out edges of a forest again: texts that
+resemble each other by the thousands and are not linked make no pairs.
 
 Words are those of op1: separated by ASCII white space, ASCII-lower-cased. Defined
 cases: a text of fewer words than a shingle has one shingle of all its words;
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_text_batches, stage
-from .simhash import BROADCAST_LOSERS, FIRST, HOT_SHARE, assigned, classes, meeting, placed, with_first
+from .simhash import BROADCAST_LOSERS, FIRST, HOT_SHARE, _forest, assigned, classes, meeting, placed, with_first
 
 LEAST_SIMILARITY = 0.8
 SEED = 42
@@ -43,6 +46,11 @@ BANDS, ROWS = 32, 4
 WORDS = 4
 #: Copies of a set that many pairs want.
 SALTS = 64
+#: Others that a row may find in a bucket and still be confirmed pair by pair.
+FEW = 8
+#: Shingles in one tile of a family, and columns of its incidence matrix at once.
+TILE_SHINGLES = 1_000_000
+COLUMNS = 4096
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _RNG = np.random.default_rng(SEED)
@@ -114,52 +122,119 @@ def _signatures(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame
     return rows.mapInPandas(run, f"key {kind}, text_hash long, fp long, n long, bands array<long>, bits binary")
 
 
+def _by_run(run, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """run(rows) over whole runs of equal `pair`, which may reach over batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = (pdf["pair"] == pdf["pair"].iloc[-1]).to_numpy()
+        if held and (last.all() and held[-1]["pair"].iloc[-1] == pdf["pair"].iloc[-1]):
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf[~last]], ignore_index=True) if held or not last.all() else pdf[:0]
+        held = [pdf[last]]
+        if len(whole):
+            yield from run(whole)
+    if held:
+        yield from run(pd.concat(held, ignore_index=True))
+
+
 def _pairs(rows: DataFrame, share: Fraction, first_asks: bool) -> DataFrame:
-    """(a, b) to confirm, from rows(pair, stored, asks, fp, n, bits, root): askers with the stored rows of their pair that are of another root."""
+    """(a, b, many) from rows(pair, stored, asks, fp, n, bits, root): askers with the stored rows of their pair that are of another root.
+
+    many: edges of a forest over rows that find more than FEW others, and those they find; else pairs to confirm.
+    """
     radius = radius_of(float(share))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def solved(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            pair, fp, n, root = (pdf[c].to_numpy(np.int64) for c in ("pair", "fp", "n", "root"))
-            bits = np.frombuffer(b"".join(pdf["bits"]), "<u8").reshape(len(pdf), WORDS)
-            asks = np.concatenate([[True], pair[1:] != pair[:-1]]) if first_asks else pdf["asks"].to_numpy(bool)
-            for i, j in meeting(pair, bits, pdf["stored"].to_numpy(bool), asks, radius):
-                fine = (root[i] != root[j]) & (share.denominator * np.minimum(n[i], n[j]) >= share.numerator * np.maximum(n[i], n[j]))
-                a, b = fp[i[fine]], fp[j[fine]]
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    def solved(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        pair, fp, n, root = (pdf[c].to_numpy(np.int64) for c in ("pair", "fp", "n", "root"))
+        bits = np.frombuffer(b"".join(pdf["bits"]), "<u8").reshape(len(pdf), WORDS)
+        starts = np.concatenate([[True], pair[1:] != pair[:-1]])
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        for i, j in meeting(pair, bits, pdf["stored"].to_numpy(bool), starts if first_asks else pdf["asks"].to_numpy(bool), radius):
+            fine = (root[i] != root[j]) & (share.denominator * np.minimum(n[i], n[j]) >= share.numerator * np.maximum(n[i], n[j]))
+            i, j = i[fine], j[fine]
+            many = np.zeros(len(i), bool) if first_asks else (np.bincount(i, minlength=len(fp)) > FEW)[i]
+            a, b = fp[i[~many]], fp[j[~many]]
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "many": False}).drop_duplicates()
+            if many.any():
+                left, right = _forest(len(fp), [*left, i[many]], [*right, j[many]])
+        for i, j in zip(left, right):
+            yield pd.DataFrame({"a": fp[i], "b": fp[j], "many": True})
+
+    return rows.repartition("pair").sortWithinPartitions("pair", "fp").mapInPandas(lambda batches: _by_run(solved, batches), "a long, b long, many boolean").distinct()
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """(fp, s): the sets of wanted(fp, key, text_hash), each from the row of docs that it names."""
+    texts = docs.select(F.col(key).alias("of_key"), F.col(text).alias("text"), F.xxhash64(text).alias("of_hash"))
+    told = wanted.select("fp", "key", "text_hash")
+    told = F.broadcast(told) if told.count() <= BROADCAST_LOSERS else told
+    texts = texts.join(told, F.col("of_key").eqNullSafe(F.col("key")) & F.col("of_hash").eqNullSafe(F.col("text_hash"))).select("fp", "text").dropDuplicates(["fp"])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf["pair"] == pdf["pair"].iloc[-1]  # its run may go on in the next batch
-            rest = pdf[last]
-            if not last.all():
-                yield from solved(pdf[~last])
-        if rest is not None and len(rest):
-            yield from solved(rest)
+            yield pd.DataFrame({"fp": pdf["fp"], "s": [shingles(t, shingle).view("<i8") for t in pdf["text"]]})
 
-    return rows.repartition("pair").sortWithinPartitions("pair", "fp").mapInPandas(run, "a long, b long").distinct()
+    return stage(texts.mapInPandas(run, "fp long, s array<long>"), "similar-sets")
+
+
+def alike(sets: list[np.ndarray], second: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) of sets as similar as that; across only where some rows are of a second side."""
+    one = np.flatnonzero(~second)
+    other = np.flatnonzero(second) if second.any() else one
+    sizes = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, at, held = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    shared = held > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    of, at = of[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    common = np.zeros((len(one), len(other)), np.float32)  # whole numbers below 2^24 are exact
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[of[a:b], at[a:b] - lo] = 1
+        common += m[one] @ m[other].T
+    p, q = share.numerator, share.denominator
+    i, j = np.nonzero((p + q) * common.astype(np.float64) >= p * (sizes[one][:, None] + sizes[other][None, :]))
+    i, j = one[i], other[j]
+    return i[i != j], j[i != j]
+
+
+def _in_families(edges: DataFrame, docs: DataFrame, rank: DataFrame, place: DataFrame, each: DataFrame, share: Fraction, shingle: int, tile: int, key: str, text: str) -> DataFrame:
+    """(a, b): edges of forests of the links within the families that edges(a, b) join."""
+    found = classes(edges, rank.select("fp", "least")).select("fp", "root")
+    members = stage(found.unionByName(found.select(F.col("root").alias("fp"), "root")).distinct().join(each.select("fp", F.col("n").alias("shingles")), "fp"), "similar-families")
+    counts = stage(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("s")), "similar-family-sizes")
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("s") / TILE_SHINGLES)).cast("long")
+    rows = assigned(members, counts.select("root", tiles.alias("tiles")), counts.select("root", "n"), "root").withColumn("own", F.pmod(F.xxhash64(F.lit(8), "fp"), F.col("tiles")))
+    sets = _sets(members.select("fp").join(place, "fp"), docs, shingle, key, text)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).alias("second")))
+    rows = rows.join(sets, "fp").withColumn("t", F.explode(meets)).select(F.xxhash64("root", "t.i", "t.j").alias("pair"), "t.second", "fp", "s")
+
+    def solved(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in pdf.groupby("pair", sort=False):
+            i, j = alike(part["s"].tolist(), part["second"].to_numpy(bool), share)
+            left, right = _forest(len(part), [i], [j]) if len(i) else ([], [])
+            fp = part["fp"].to_numpy(np.int64)
+            for a, b in zip(left, right):
+                yield pd.DataFrame({"a": fp[a], "b": fp[b]})
+
+    return rows.repartition("pair").sortWithinPartitions("pair", "second", "fp").mapInPandas(lambda batches: _by_run(solved, batches), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, one: DataFrame, share: Fraction, shingle: int, key: str, text: str) -> DataFrame:
     """The pairs whose sets are as similar as that; one(fp, key, text_hash) names a row of docs for each set."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
     wanted = stage(ends.join(one, "fp"), "similar-wanted")
-    total, sets_wanted = wanted.agg(F.sum("n"), F.count("*")).first()
-    texts = docs.select(F.col(key).alias("of_key"), F.col(text).alias("text"), F.xxhash64(text).alias("of_hash"))
-    told = wanted.select("fp", "key", "text_hash")
-    told = F.broadcast(told) if sets_wanted <= BROADCAST_LOSERS else told
-    texts = texts.join(told, F.col("of_key").eqNullSafe(F.col("key")) & F.col("of_hash").eqNullSafe(F.col("text_hash"))).select("fp", "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"fp": pdf["fp"], "s": [shingles(t, shingle).view("<i8") for t in pdf["text"]]})
-
-    sets = stage(texts.mapInPandas(run, "fp long, s array<long>"), "similar-sets")
+    total = wanted.agg(F.sum("n")).first()[0]
+    sets = _sets(wanted, docs, shingle, key, text)
     # sets that more than a share of the pairs want (there are fewer than 2 * HOT_SHARE) stand SALTS times
     hot = F.broadcast(wanted.where(F.col("n") > max(SALTS, (total or 0) // (2 * HOT_SHARE))).select("fp", F.lit(SALTS).alias("salts")))
     many = sets.join(hot, "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select("fp", "salt", "s")
@@ -185,7 +260,7 @@ def classified(docs: DataFrame, similarity: float, shingle: int, tile: int, key:
     each = rows.select("fp", "n", "bits").dropDuplicates(["fp"])
     met = stage(placed(sized, "bucket", "fp", tile).join(each, "fp"), "similar-buckets")
     first = met.select(F.xxhash64("bucket", "own").alias("pair"), F.lit(True).alias("stored"), F.lit(False).alias("asks"), "fp", "n", "bits", F.col("fp").alias("root"))
-    edges = stage(_confirmed(stage(_pairs(first, share, True), "similar-pairs"), docs, place, share, shingle, key, text), "similar-links")
+    edges = stage(_confirmed(stage(_pairs(first, share, True).drop("many"), "similar-pairs"), docs, place, share, shingle, key, text), "similar-links")
     found = classes(edges, rank.select("fp", "least")).select("fp", "root")
     rooted = stage(met.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-rooted")
     mains = rooted.groupBy("bucket").agg(F.min_by("root", "fp").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
@@ -193,5 +268,9 @@ def classified(docs: DataFrame, similarity: float, shingle: int, tile: int, key:
     open_ = assigned(rooted.withColumnRenamed("n", "shingles"), mains.select("bucket", "main"), mains.select("bucket", "n"), "bucket").withColumn("asks", F.col("root") != F.col("main"))
     visits = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).otherwise(F.array("own"))
     again = open_.withColumn("t", F.explode(visits)).select(F.xxhash64("bucket", "t").alias("pair"), (F.col("t") == F.col("own")).alias("stored"), "asks", "fp", F.col("shingles").alias("n"), "bits", "root")
-    more = stage(_confirmed(stage(_pairs(again, share, False), "similar-pairs"), docs, place, share, shingle, key, text), "similar-links")
-    return with_first(rows.select("key", "text_hash", "fp"), rank, edges.unionByName(more).distinct())
+    proposed = stage(_pairs(again, share, False), "similar-pairs")
+    edges = edges.unionByName(stage(_confirmed(proposed.where("not many").select("a", "b"), docs, place, share, shingle, key, text), "similar-links"))
+    many = proposed.where("many").select("a", "b")
+    if many.limit(1).count():
+        edges = edges.unionByName(stage(_in_families(many, docs, rank, place, each, share, shingle, tile, key, text), "similar-links"))
+    return with_first(rows.select("key", "text_hash", "fp"), rank, edges.distinct())

@@ -45,6 +45,12 @@ def families():
             for at in rng.integers(0, 250, rng.integers(0, changes + 1)):
                 words[at] = f"new{rng.integers(0, 10**6)}"
             rows.append(" ".join(words))
+    base = [f"v{x}" for x in rng.integers(0, 5000, 300)]
+    for _ in range(30):  # a family whose members are linked to few others: about 0.8 to the base, less among themselves
+        words = list(base)
+        for at in rng.choice(300, int(rng.integers(4, 8)), replace=False):
+            words[at] = f"other{rng.integers(0, 10**6)}"
+        rows.append(" ".join(words))
     rows += [rows[0], rows[0].upper(), "one two three four", "One two three  four", "one two three", "", None, " \n"]
     keys = [int(k) for k in rng.permutation(len(rows))]
     return [(None if k == 0 else k, t, "en", "s", 1) for k, t in zip(keys, rows)]
@@ -81,6 +87,17 @@ def test_wide_fingerprints_meet_and_stay_within_the_radius():
     assert got == {(i, j) for i in range(300) for j in range(300) if asks[i] and stored[j] and group[i] == group[j] and near(i, j)}
 
 
+def test_sets_of_a_family_are_compared_exactly():
+    rng = np.random.default_rng(7)
+    from fractions import Fraction
+
+    sets = [np.unique(np.concatenate([np.arange(60), rng.integers(0, 2000, int(k))])) for k in rng.integers(0, 30, 50)] + [np.zeros(0, np.int64)]
+    for second in (np.zeros(51, bool), np.arange(51) > 25):
+        i, j = similar.alike(sets, second, Fraction(4, 5))
+        want = {(a, b) for a in range(51) for b in range(51) if a != b and (not second.any() or (not second[a] and second[b])) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+        assert {(int(a), int(b)) for a, b in zip(i, j)} == want
+
+
 def test_other_similarities_are_refused(spark):
     with pytest.raises(ValueError, match="0.8"):
         simhash.keep_one(spark.createDataFrame([], SCHEMA), similarity=0.5)
