@@ -4,8 +4,9 @@ A rule fits its host and all subdomains if the path starts with the rule's; the
 longest wins. Other URLs get the verdict of a boosted ensemble trained on
 labelled URLs (by default those that a rule decides). Features are lengths,
 depth, digit ratio, entropy, parameter counts, marks, and statistics of the
-suffix (the last label of the host) among the labels. Trees are grown on the
-driver from a bounded sample and scored in vectorized batches.
+suffix (the last label of the host) among the labels of the sample, without the row's
+own when it is learnt from. Trees are grown on the driver from a bounded sample and
+scored in vectorized batches.
 
 Defined cases: a null URL, or one without "://", has an empty host and path,
 fits no rule and is judged by its features; repeated URLs get one verdict; with
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed, one_of, stage
+
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled URLs that a fit uses at most, those with the least hash.
@@ -136,42 +139,50 @@ class Model:
         return 1 / (1 + np.exp(-self.trees.margin(x)))
 
 
-def suffix_statistics(labelled: DataFrame, most: int = 5_000) -> dict[str, tuple[float, float]]:
-    """Of every suffix among the labels (the `most` commonest): log count and smoothed share of blocked."""
-    suffix = F.element_at(F.split("host", r"\."), -1)
-    rows = labelled.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"), F.sum("y").alias("b")).orderBy(F.desc("n"), "suffix").limit(most).collect()
-    return {r["suffix"]: (float(np.log1p(r["n"])), (r["b"] + 1) / (r["n"] + 2)) for r in rows}
+def _suffix(host: str) -> str:
+    return host.rpartition(".")[2]
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of labelled(url, host, path, y: 1 to block); None without labels. Statistics use all labels, trees a bounded sample."""
-    suffixes = suffix_statistics(labelled)
-    sample = labelled.select("url", "host", "path", "y").distinct().orderBy(F.xxhash64(F.lit("url"), "url"), "url").limit(rows).collect()
+    """A model of labelled(url, host, path, y: 1 to block), learnt from the `rows` different ones of least hash; None without labels."""
+    sample = least_hashed(stage(labelled.select("url", "host", "path", "y").distinct(), "url-labels"), rows, "url", "url", "y").collect()
     if not sample:
         return None
-    x = np.array([lexical(r["url"], r["host"], r["path"], suffixes) for r in sample], np.float64)
     y = np.array([r["y"] for r in sample], np.float64)
+    counts: dict[str, list[float]] = {}
+    for r in sample:
+        c = counts.setdefault(_suffix(r["host"]), [0, 0])
+        c[0] += 1
+        c[1] += r["y"]
+    told = lambda n, b: (float(np.log1p(n)), (b + 1) / (n + 2))
+    suffixes = {s: told(*c) for s, c in counts.items()}
     if y.min() == y.max():
         none = np.zeros((0, 1))
         return Model(Trees(none, none, none, 20.0 if y[0] else -20.0), suffixes)
+    x = np.array([lexical(r["url"], r["host"], r["path"], {s: told(counts[s][0] - 1, counts[s][1] - r["y"])} if counts[s := _suffix(r["host"])][0] > 1 else {}) for r in sample], np.float64)
     return Model(boost(x, y), suffixes)
 
 
-def judged(pages: DataFrame, *, rules=RULES, labelled: DataFrame | None = None, url: str = "url", rows: int = TRAIN_ROWS) -> DataFrame:
-    """pages with host, path, rule, score (the model's, to block) and verdict. labelled: (url, y) to learn from instead of the rules' own decisions."""
-    parts = lambda df: df.select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+def judged(pages: DataFrame, *, rules=RULES, labelled: DataFrame | None = None, url: str = "url", rows: int = TRAIN_ROWS, name: str = "judged") -> DataFrame:
+    """pages with a column `name` (with _ where pages has one so named): struct(host, path, rule, score, verdict), score being the model's, to block.
+
+    labelled: (url, y) to learn from instead of the rules' own decisions.
+    """
+    struct = lambda u: F.struct(host_of(u).alias("host"), path_of(u).alias("path"))
     if labelled is None:
-        held = parts(pages.select(F.col(url))).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-        train = held.where("r is not null").select(F.col(url).alias("url"), "host", "path", (F.col("r.verdict") == "block").cast("int").alias("y"))
+        held = pages.select(F.col(url).alias("url"), struct(F.col(url)).alias("p")).withColumn("r", rule_of(F.col("p.host"), F.col("p.path"), rules)).where("r is not null")
+        train = held.select("url", "p.*", (F.col("r.verdict") == "block").cast("int").alias("y"))
     else:
-        train = parts(labelled.select(F.col("url").alias(url), "y")).select(F.col(url).alias("url"), "host", "path", "y")
+        train = labelled.select("url", struct(F.col("url")).alias("p"), "y").where("y is not null").select("url", "p.*", "y")
     model = fit(train, rows)
 
     @F.pandas_udf("double")
     def score(u: pd.Series, h: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series(model.blocked(u.tolist(), h.tolist(), p.tolist()))
 
-    made = ("host", "path", "r", "rule", "score", "verdict")
-    got = parts(pages.drop(*made)).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    got = got.withColumn("score", score(F.col(url), "host", "path") if model else F.lit(0.0))
-    return got.select(*[c for c in pages.columns if c not in made], "host", "path", F.col("r.rule").alias("rule"), "score", F.coalesce("r.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+    out = one_of(name, pages.columns)
+    parts, rule, s = (one_of(n, [*pages.columns, out]) for n in ("url_parts", "url_rule", "url_score"))
+    got = pages.withColumn(parts, struct(F.col(url))).withColumn(rule, rule_of(F.col(f"{parts}.host"), F.col(f"{parts}.path"), rules))
+    got = got.withColumn(s, score(F.col(url), F.col(f"{parts}.host"), F.col(f"{parts}.path")) if model else F.lit(0.0))
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(s) >= 0.5, "block").otherwise("allow"))
+    return got.select(*pages.columns, F.struct(F.col(f"{parts}.host").alias("host"), F.col(f"{parts}.path").alias("path"), F.col(f"{rule}.rule").alias("rule"), F.col(s).alias("score"), verdict.alias("verdict")).alias(out))
