@@ -182,9 +182,9 @@ def unit_id(key: Column, text: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as often as the mix takes each row, in the columns of docs."""
-    got = mix(docs, **how).select("uid", "source", "copies").distinct()
-    uid, copies = one_of("uid", docs.columns), one_of("copies", docs.columns)
-    got = got.select(F.col("uid").alias(uid), F.col("source").alias("mix_source_"), F.col("copies").alias(copies)).where(F.col(copies) > 0)
-    left = docs.withColumn(uid, unit_id(docs[how.get("key", "doc_id")], docs[how.get("text", "text")]))
-    out = left.join(got, (left[uid] == got[uid]) & left[how.get("source", "source")].eqNullSafe(got["mix_source_"])).drop(got[uid])
-    return out.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    got = mix(docs, **how).select("uid", "source", "copies").distinct().where("copies > 0")
+    names = {n: one_of(f"mix_{n}", docs.columns) for n in ("uid", "source", "copies", "own")}
+    got = got.withColumnsRenamed({n: names[n] for n in got.columns})
+    left = docs.withColumn(names["own"], unit_id(docs[how.get("key", "doc_id")], docs[how.get("text", "text")]))
+    out = left.join(got, (F.col(names["own"]) == F.col(names["uid"])) & left[how.get("source", "source")].eqNullSafe(F.col(names["source"])))
+    return out.withColumn(names["uid"], F.explode(F.array_repeat(F.lit(1), F.col(names["copies"]).cast("int")))).select(*docs.columns)
