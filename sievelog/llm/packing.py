@@ -2,8 +2,8 @@
 
 Best-fit decreasing runs on the driver over how many pieces there are of each
 length, not over pieces: bins that hold the same lengths are one group with a
-count. The plan has a few entries for each of at most `context` lengths,
-whatever the corpus holds. Pieces take planned slots by their rank within
+count. Each length opens at most four groups, so there are at most 4 * `context` of
+them, of at most `context` entries each, whatever the corpus holds. Pieces take planned slots by their rank within
 their length; ranks are counted inside (length, bucket) and shifted by the
 totals of the buckets before, so the commonest length is no single task.
 
@@ -30,9 +30,6 @@ from .tokens import encoder
 CONTEXT = 2048
 #: Pieces of one length in one bucket of the ranking.
 BUCKET = 10_000
-#: The plan is sent to the executors; it cannot reach this size for the lengths of one context.
-MAX_PLAN = 2_000_000
-
 
 def pieces(docs: DataFrame, vocabulary: str, *, context: int = CONTEXT, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Per piece: key, piece, start, length, ids_crc32 (and ids as little-endian uint32). The first piece of a cut document takes the remainder."""
@@ -112,8 +109,6 @@ def pack(pieces_: DataFrame, context: int = CONTEXT, bucket: int = BUCKET) -> Da
     rows = stage(pieces_, "packing-pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `context` rows
     slots = plan(counts, context)
-    if len(slots) > MAX_PLAN:
-        raise ValueError(f"a plan of {len(slots)} slots")
     # as many buckets as a length needs, so there are few groups in all and none is large
     n_buckets = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // bucket))) for n in range(context + 1)])
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.get(n_buckets, F.col("length").cast("int"))))
