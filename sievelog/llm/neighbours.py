@@ -6,9 +6,11 @@ coordinates tell much of a distance. Lists are the cells of centroids fitted on
 a bounded sample; every row is indexed. Inside each probed list, distances grow
 column block by column block; after each block a hypothesis test abandons the
 pairs whose partial distance says that they end beyond the query's bound. The
-bound is the query's k-th distance within a bounded sample, whose rows also
-enter the result, so a query always finds k rows if there are so many. Scores
-of what is left are computed in double precision from the original vectors.
+bound is first the query's k-th distance within a bounded sample; the nearest
+list is scanned with it, which tightens it to the k-th distance found there, and
+then the other probed lists. Scores of what is left are computed in double
+precision from the original vectors. A query that finds fewer than k rows in its
+lists is filled up from the sample.
 
 Lists are cut into blocks, and the queries of a list into chunks, by their
 counts: a task holds one block and streams its queries.
@@ -29,10 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import least_hashed, stage
 
 #: Rows on which centroids, bounds and the number of probes are fitted.
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS = 65_536
 MAX_LISTS = 4_096
 #: Share of true neighbours, measured on the sample, that the probed lists shall hold.
 TARGET_RECALL = 0.97
@@ -80,27 +82,31 @@ def fit(rows: DataFrame, k: int, seed: int = 3, sample_rows: int = SAMPLE_ROWS,
     n, top = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
     if not n:
         return None
-    got = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample_rows).collect()
-    ids = np.array([r["id"] for r in got], np.int64)
-    x = np.array([r["v"] for r in got], np.float32)
+    got = least_hashed(rows, sample_rows, f"neighbours {seed}", "id").toArrow()
+    ids = got["id"].to_numpy()
+    x = got["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), -1)
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((x.shape[1] + 1,) * 2))[0]
     index = Index(rotation, float(top), np.zeros((1, x.shape[1] + 1), np.float32), 1, ids, x)
     y = index.stored(x)
-    lists = int(min(MAX_LISTS, max(1, round(n**0.5)), max(1, len(y) // 16)))
-    centroids = y[rng.choice(len(y), lists, replace=False)]
+    # centroids from one half, probes from the other: rows that centroids were fitted to lie nearer to them than others do
+    order = rng.permutation(len(y))
+    told = order[: max(1, len(y) // 2)] if len(y) >= 64 else order
+    kept = order[len(y) // 2 :] if len(y) >= 64 else order
+    lists = int(min(MAX_LISTS, max(1, round(n**0.5)), max(1, len(told) // 16)))
+    centroids = y[told[:lists]]
     for _ in range(12):
-        of = _distances(y, centroids).argmin(axis=1)
+        of = _distances(y[told], centroids).argmin(axis=1)
         size = np.bincount(of, minlength=lists)
         total = np.zeros_like(centroids)
-        np.add.at(total, of, y)
+        np.add.at(total, of, y[told])
         centroids = np.where(size[:, None] > 0, total / np.maximum(1, size)[:, None], centroids).astype(np.float32)
-    of = _distances(y, centroids).argmin(axis=1)
+    of = _distances(y[kept], centroids).argmin(axis=1)
     asked = rng.choice(len(y), min(400, len(y)), replace=False)
     q = index.asked(x[asked])
-    true = x[asked].astype(np.float64) @ x.astype(np.float64).T
-    true[np.arange(len(asked)), asked] = -np.inf
-    near = np.argsort(-true, axis=1)[:, : min(k, max(1, len(y) - 1))]
+    true = x[asked].astype(np.float64) @ x[kept].astype(np.float64).T
+    true[asked[:, None] == kept] = -np.inf
+    near = np.argsort(-true, axis=1)[:, : min(k, max(1, len(kept) - 1))]
     rank = np.argsort(np.argsort(_distances(q, centroids), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, of[near], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
@@ -164,7 +170,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, key: str = "ve
                 first = np.argpartition(apart, m - 1, axis=1)[:, :m]
                 reach = np.take_along_axis(apart, first, axis=1)
                 bound = np.where(np.isfinite(reach.max(axis=1)) & (m == k), reach.max(axis=1), np.finfo(np.float32).max / 4)
-                lists = np.argpartition(_distances(q, ix.centroids), ix.probes - 1, axis=1)[:, : ix.probes]
+                lists = np.argsort(_distances(q, ix.centroids), axis=1, kind="stable")[:, : ix.probes]
                 found_q, found_at = np.nonzero(np.isfinite(reach))
                 places = first[found_q, found_at]
                 yield pd.DataFrame({
@@ -175,17 +181,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, key: str = "ve
     listed = stage(rows.select("id", "v").dropDuplicates(["id"]).mapInPandas(assign, f"id long, v {kind}, list int"), "neighbours-lists")
     asked = rows.where("asks").select("id", "v").dropDuplicates(["id"])
     asked = stage(asked.mapInPandas(probe, f"id long, v {kind}, bound double, lists array<int>, near array<long>, near_score array<double>"), "neighbours-queries")
-    probes = asked.select("id", "v", "bound", F.explode("lists").alias("list"))
-    # counts by list: at most MAX_LISTS rows each
+    # counts by list: at most MAX_LISTS rows
     rows_of = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
-    queries_of = {r["list"]: r["count"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
-    blocks = F.create_map(*[F.lit(x) for i, n in rows_of.items() for x in (i, -(-n // block_rows))]) if rows_of else F.create_map().cast("map<int,int>")
-    chunks = F.create_map(*[F.lit(x) for i, n in queries_of.items() for x in (i, -(-n // chunk_queries))]) if queries_of else F.create_map().cast("map<int,int>")
-    block = F.pmod(F.xxhash64(F.lit(1), "id"), blocks[F.col("list")]).cast("int")
-    chunk = F.pmod(F.xxhash64(F.lit(2), "id"), chunks[F.col("list")]).cast("int")
-    left = listed.where(chunks[F.col("list")].isNotNull()).select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1)).alias("chunk"), F.lit(0).alias("tag"), "id", "v", F.lit(0.0).alias("bound"))
-    right = probes.where(blocks[F.col("list")].isNotNull()).select("list", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("tag"), "id", "v", "bound")
-    cells = left.unionByName(right).withColumn("cell", F.xxhash64("list", "block", "chunk")).select("cell", "tag", "id", "v", "bound")
+    by_list = lambda counts, size: F.create_map(*[F.lit(x) for i, n in counts.items() for x in (i, -(-n // size))]) if counts else F.create_map().cast("map<int,int>")
+    blocks = by_list(rows_of, block_rows)
+
+    def cells(probes: DataFrame) -> DataFrame:
+        """The blocks of the lists that probes(id, v, bound, list) ask for, each with its queries."""
+        chunks = by_list({r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}, chunk_queries)
+        block = F.pmod(F.xxhash64(F.lit(1), "id"), blocks[F.col("list")]).cast("int")
+        chunk = F.pmod(F.xxhash64(F.lit(2), "id"), chunks[F.col("list")]).cast("int")
+        left = listed.where(chunks[F.col("list")].isNotNull()).select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1)).alias("chunk"), F.lit(0).alias("tag"), "id", "v", F.lit(0.0).alias("bound"))
+        right = probes.where(blocks[F.col("list")].isNotNull()).select("list", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("tag"), "id", "v", "bound")
+        dealt = left.unionByName(right).withColumn("cell", F.xxhash64("list", "block", "chunk")).select("cell", "tag", "id", "v", "bound")
+        return dealt.repartition("cell").sortWithinPartitions("cell", "tag").mapInPandas(search, "query_id long, id long, score double")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = sent.value
@@ -217,12 +226,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, key: str = "ve
                     top = place < k
                     yield pd.DataFrame({"query_id": qid[i[top]], "id": ids[j[top]], "score": s[top]})
 
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "tag")
-    found = dealt.mapInPandas(search, "query_id long, id long, score double")
-    sampled = asked.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "near_score")).alias("x")).select("query_id", F.col("x.near").alias("id"), F.col("x.near_score").alias("score"))
-    both = found.unionByName(sampled).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    first = stage(cells(asked.select("id", "v", "bound", F.col("lists")[0].alias("list"))), "neighbours-first")
+    # the k-th score of a query's nearest list bounds its distance: d^2 = |q|^2 + top^2 - 2 score
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    reached = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    tight = F.least("bound", F.greatest(F.lit(0.0), length + F.lit(index.top) ** 2 - 2 * F.col("reached")))
+    more = asked.join(reached, "id", "left").withColumn("bound", F.coalesce(tight, "bound")).select("id", "v", "bound", F.explode(F.slice("lists", 2, max(1, index.probes))).alias("list"))
+    found = first.unionByName(cells(stage(more, "neighbours-probes"))).withColumn("fill", F.lit(0))
+    sampled = asked.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "near_score")).alias("x")).select("query_id", F.col("x.near").alias("id"), F.col("x.near_score").alias("score"), F.lit(1).alias("fill"))
+    both = found.unionByName(sampled).groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("fill").alias("fill"))
+    held = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("fill", F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return held.withColumn("rank", F.row_number().over(by_score)).select("query_id", "rank", "id", "score")
 
 
 def _split(values: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
