@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every text gets its measures. Rules on them and on the text follow one another:
-a row stops at its first failure. What a rule costs and rejects is measured on
-a bounded sample, and rules run in the order of rejections per cost; the order
-changes the time, never a verdict, as a text is kept if no rule fails it.
+Rules follow one another: a row stops at its first failure. What a rule costs and
+rejects is measured on a bounded sample, and rules run in the order of rejections per
+cost; the order changes the time, never a verdict, as a text is kept if no rule fails it.
+
+judged() reports all measures of every text, so only what rules read beyond them is saved;
+survivors() computes each measure where a rule asks for it, and no later rule of a text that failed.
 
 Defined cases: a null or empty text has no words, fails the base and is not
 kept; repeated rows get the same verdict; an empty table gives no rows.
@@ -86,29 +88,69 @@ RULES = (
 )
 
 
-def ordered(docs: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejections per second on a sample of docs, the best first."""
+#: The base as rules, for survivors().
+BASE_RULES = (
+    Rule("base_words", lambda m, t: m["n_words"] < MIN_WORDS),
+    Rule("base_repeats", lambda m, t: 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]),
+)
+#: How often a rule is evaluated on each row of the sample to tell its cost.
+REPEATS = 10
+
+
+def lazy_measures(text: Column, width: int = WINDOW) -> dict[str, Column]:
+    """measures() one by one: what a rule does not read is not computed."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    return {
+        "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"), "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long"), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_lines": F.size(lines).cast("long"), "n_dup_lines": bind(lines, lambda n: F.size(n) - F.size(F.array_distinct(n))).cast("long"), "n_repeat_words": bind(words_of(text), lambda w: _covered(w, width)).cast("long"),
+    }
+
+
+def ordered(docs: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROWS, lazy: bool = False) -> list[Rule]:
+    """rules by rejections per second on a sample of docs, the best first.
+
+    A rule's cost is the time that one task takes to evaluate it REPEATS times on
+    every row, less that of evaluating nothing; a first run that compiles it is not counted.
+    """
     total = docs.count()
     if not total:
         return list(rules)
-    sample = stage(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(fraction=min(1.0, 1.5 * rows / total), seed=6).limit(rows).withColumn("m", measures(F.col("t"))), "quality-sample")
-    fails = [r.fails(F.col("m"), F.col("t")) for r in rules]
+    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(fraction=min(1.0, 1.5 * rows / total), seed=6).limit(rows)
+    sample = stage((some if lazy else some.withColumn("m", measures(F.col("t")))).coalesce(1), "quality-sample")
+    m = lazy_measures(F.col("t")) if lazy else F.col("m")
+    fails = [r.fails(m, F.col("t")) for r in rules]
     rejected = sample.agg(*[F.count_if(f).alias(f"r{i}") for i, f in enumerate(fails)]).first()
-    costs = []
-    for f in fails:
-        began = time.perf_counter()
-        sample.agg(F.count_if(f)).collect()
-        costs.append(time.perf_counter() - began)
+    many = sample.coalesce(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+    def seconds(test: Column) -> float:
+        for _ in range(2):
+            began = time.perf_counter()
+            many.agg(F.count_if(test & (F.col("again") > 0))).collect()
+        return time.perf_counter() - began
+
+    nothing = seconds(F.length("t") >= 0)
+    costs = [max(1e-4, seconds(f) - nothing) for f in fails]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-(rejected[i] + 0.5) / costs[i], i))]
 
 
-def judged(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with column `quality`: the measures, base_failed, kept and failed (the rule that stopped the row, or null)."""
+def _cascade(order, m, t: Column) -> Column:
+    """The name of the first rule of the order that fails, or NULL; later ones are not evaluated."""
+    return reduce(lambda later, r: F.when(r.fails(m, t), F.lit(r.name)).otherwise(later), reversed(order), F.lit(None).cast("string"))
+
+
+def judged(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, order: list[Rule] | None = None) -> DataFrame:
+    """docs with column `quality`: the measures, base_failed, kept and failed (the rule that stopped the row, or null). order: instead of the one measured."""
     m, q = one_of("measures", docs.columns), one_of("quality", docs.columns)
-    order = ordered(docs, rules, text, sample_rows)
+    order = ordered(docs, rules, text, sample_rows) if order is None else order
     t = F.coalesce(F.col(text), F.lit(""))
     base = base_failed(F.col(m))
-    cascade = reduce(lambda later, r: F.when(r.fails(F.col(m), t), F.lit(r.name)).otherwise(later), reversed(order), F.lit(None).cast("string"))
-    failed = F.when(base, F.lit("base")).otherwise(cascade)
+    failed = F.when(base, F.lit("base")).otherwise(_cascade(order, F.col(m), t))
     both = docs.withColumn(m, measures(F.col(text))).withColumn(q, F.struct(F.col(f"{m}.*"), base.alias("base_failed"), failed.alias("failed")))
     return both.withColumn(q, F.col(q).withField("kept", F.col(q)["failed"].isNull())).drop(m)
+
+
+def survivors(docs: DataFrame, rules=(*BASE_RULES, *RULES), text: str = "text", sample_rows: int = SAMPLE_ROWS, order: list[Rule] | None = None) -> DataFrame:
+    """The rows of docs that judged() keeps, by the cascade alone."""
+    order = ordered(docs, rules, text, sample_rows, lazy=True) if order is None else order
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.where(_cascade(order, lazy_measures(t), t).isNull())

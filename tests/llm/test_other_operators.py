@@ -157,6 +157,21 @@ def test_neighbours_recall_scores_and_ties(spark):
     assert hits / 20 / len(by) >= 0.9
 
 
+def test_neighbours_found_by_lists_alone(spark, monkeypatch):
+    """Recall over many more rows than the sample holds; without what fills up short answers."""
+    x = vectors(20_000, 16, seed=2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10, sample_rows=2000).collect()
+    s = x[::100].astype(np.float64) @ x.astype(np.float64).T
+    s[np.arange(200), np.arange(0, 20_000, 100)] = -np.inf
+    true = [set(np.argsort(-r, kind="stable")[:10].tolist()) for r in s]
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r["query_id"] // 100].add(r["id"])
+    assert all(len(v) == 10 for v in found.values()) and len(found) == 200
+    assert np.mean([len(found[i] & true[i]) for i in range(200)]) >= 9
+
+
 def test_neighbours_of_few_rows(spark):
     rows = [(i * 20, [float(i + 1), 1.0]) for i in range(5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -183,12 +198,15 @@ def judged_plain(url):
 
 def test_url_rules(spark):
     df = spark.createDataFrame([(i, u, "h", 5) for i, u in enumerate(URLS)], "page_id long, url string, host string, r int")
-    for r in url_filter.judged(df).collect():
+    got = url_filter.judged(df)
+    assert got.columns == [*df.columns, "judged"] and {r["host"] for r in got.collect()} == {"h"}
+    assert "judged_" in url_filter.judged(df.withColumn("judged", F.lit(1)).withColumn("url_parts", F.lit(2))).columns
+    for r in got.select("page_id", "judged.*").collect():
         host, path, rule, verdict = judged_plain(URLS[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block") and verdict in (None, r["verdict"])
     assert url_filter.judged(df.limit(0)).count() == 0
     alone = url_filter.judged(df.where("page_id < 3"))
-    assert {r["verdict"] for r in alone.collect()} == {"allow"}
+    assert {r["judged"]["verdict"] for r in alone.collect()} == {"allow"}
 
 
 def test_url_trees_on_held_out_urls(spark):
@@ -200,7 +218,7 @@ def test_url_trees_on_held_out_urls(spark):
         rows.append((f"http://{host}/{'a/' * int(rng.integers(0, 3))}{rng.integers(0, 9)}{'?a=1&b=2' if bad and rng.random() < 0.7 else ''}", int(bad)))
     df = spark.createDataFrame(rows, "url string, y int")
     got = url_filter.judged(df.where("url like '%.com%'"), rules=(), labelled=df.where("url not like '%.com%'")).collect()
-    assert len(got) > 300 and np.mean([(r["verdict"] == "block") == bool(r["y"]) for r in got]) > 0.95
+    assert len(got) > 300 and np.mean([(r["judged"]["verdict"] == "block") == bool(r["y"]) for r in got]) > 0.95
 
 
 def test_pipeline_stages(spark):
