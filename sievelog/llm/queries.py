@@ -82,9 +82,58 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 reads of a URL and decides by rule alone."""
+    from .url_filter import host_of, path_of, rule_of
+
+    parts = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return parts.withColumn("r", rule_of(F.col("host"), F.col("path"))).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("verdict"))
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op5."""
+    from .mixing import targets, words
+
+    sizes = table(spark, sf_dir, "documents").select("source", words(F.col("text")).alias("size"))
+    return targets(sizes).select("source", "source_size", F.col("n_units").alias("documents"), F.round("target", 6).alias("target"))
+
+
+def llm_pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op7."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "llm_")) and callable(f)}
+
+
+_URL_SQL = r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+f as (select *, case when (host = 'example.net' or suffix(host, '.example.net')) and prefix(path, '/en/') then 'example.net/en/' when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or suffix(host, '.org')) and prefix(path, '/fr/') then 'org/fr/' when (host = 'net' or suffix(host, '.net')) and prefix(path, '/') then 'net/' end as rule from p)
+select page_id, host, path, rule, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end as verdict from f
+"""
 
+_MIX_SQL = r"""
+with s as (select source, cast(sum(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)) as bigint) as source_size, count(*) as documents from documents group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight from s),
+r as (select *, 3.0 * source_size as most, 3.0 * source_size / weight as ratio, sum(source_size) over () as total from w),
+l as (select *, (total - coalesce(sum(most) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as level from r),
+e as (select min_by(level, ratio) as level from l where level <= ratio)
+select source, source_size, documents, round(least(most, coalesce(e.level, 'inf'::double) * weight), 6) as target from l, e
+"""
+
+_PII_SQL = r"""
+with t as (select doc_id, row_number() over () as row_no, coalesce(text, '') as t from documents),
+m as (select *, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as emails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as ips,
+  list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as cards, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as phones from t)
+select doc_id, len(emails) as n_email, len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: strlen(ltrim(p, '0')) > 3 or coalesce(try_cast(right(p, 3) as int), 0) > 255)) = 0)) as n_ip,
+  len(list_filter(cards, lambda d: strlen(d) between 16 and 19 and list_sum(list_transform(range(1, strlen(d) + 1), lambda i: case when i % 2 = 0 then case when 2 * cast(substr(d, strlen(d) - i + 1, 1) as int) > 9 then 2 * cast(substr(d, strlen(d) - i + 1, 1) as int) - 9
+    else 2 * cast(substr(d, strlen(d) - i + 1, 1) as int) end else cast(substr(d, strlen(d) - i + 1, 1) as int) end)) % 10 = 0)) as n_card,
+  len(list_filter(phones, lambda d: strlen(d) between 8 and 15)) as n_phone
+from m
+"""
 
 _QUALITY_SQL = r"""
 with t as (select doc_id, coalesce(text, '') as t, row_number() over () as row_no from documents),
@@ -104,4 +153,4 @@ from f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_cascade": _QUALITY_SQL}
+    return {"op6_quality_cascade": _QUALITY_SQL, "llm_url_rules": _URL_SQL, "llm_mix_targets": _MIX_SQL, "llm_pii_base": _PII_SQL}
