@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import shared_dir
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/checkpoints/sievelog"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
