@@ -181,18 +181,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, key: str = "ve
     listed = stage(rows.select("id", "v").dropDuplicates(["id"]).mapInPandas(assign, f"id long, v {kind}, list int"), "neighbours-lists")
     asked = rows.where("asks").select("id", "v").dropDuplicates(["id"])
     asked = stage(asked.mapInPandas(probe, f"id long, v {kind}, bound double, lists array<int>, near array<long>, near_score array<double>"), "neighbours-queries")
-    # counts by list: at most MAX_LISTS rows
-    rows_of = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
-    by_list = lambda counts, size: F.create_map(*[F.lit(x) for i, n in counts.items() for x in (i, -(-n // size))]) if counts else F.create_map().cast("map<int,int>")
-    blocks = by_list(rows_of, block_rows)
+    sizes = stage(listed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "neighbours-sizes")
 
     def cells(probes: DataFrame) -> DataFrame:
         """The blocks of the lists that probes(id, v, bound, list) ask for, each with its queries."""
-        chunks = by_list({r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}, chunk_queries)
-        block = F.pmod(F.xxhash64(F.lit(1), "id"), blocks[F.col("list")]).cast("int")
-        chunk = F.pmod(F.xxhash64(F.lit(2), "id"), chunks[F.col("list")]).cast("int")
-        left = listed.where(chunks[F.col("list")].isNotNull()).select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1)).alias("chunk"), F.lit(0).alias("tag"), "id", "v", F.lit(0.0).alias("bound"))
-        right = probes.where(blocks[F.col("list")].isNotNull()).select("list", F.explode(F.sequence(F.lit(0), blocks[F.col("list")] - 1)).alias("block"), chunk.alias("chunk"), F.lit(1).alias("tag"), "id", "v", "bound")
+        asking = probes.groupBy("list").agg(F.ceil(F.count("*") / chunk_queries).cast("int").alias("chunks"))
+        counts = F.broadcast(sizes.join(asking, "list"))  # at most MAX_LISTS rows
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
+        left = listed.join(counts, "list").select("list", own(1, "blocks").alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("tag"), "id", "v", F.lit(0.0).alias("bound"))
+        right = probes.join(counts, "list").select("list", each("blocks").alias("block"), own(2, "chunks").alias("chunk"), F.lit(1).alias("tag"), "id", "v", "bound")
         dealt = left.unionByName(right).withColumn("cell", F.xxhash64("list", "block", "chunk")).select("cell", "tag", "id", "v", "bound")
         return dealt.repartition("cell").sortWithinPartitions("cell", "tag").mapInPandas(search, "query_id long, id long, score double")
 
