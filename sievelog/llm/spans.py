@@ -7,7 +7,8 @@ The first place is that of the smallest key, then text hash, then position.
 
 Each batch of texts settles its own repeats: only the first place of a hash in
 a batch is shuffled, so a passage that is everywhere sends a row for each batch
-and not for each copy. Texts are not shuffled by run, only once to meet their
+and not for each copy; the commonest hashes, of which there are few, are
+pre-aggregated and broadcast. Texts are not shuffled by run, only once to meet their
 spans.
 
 Sentences end at . ! or ? followed by white space, and at line breaks; one
@@ -41,6 +42,8 @@ RUN = 3
 MIN_WORDS = 12
 LONG = 16
 CHOICE = 8
+#: Hashes that are common enough to be joined by broadcast: fewer than this.
+COMMON = 10_000
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"\S+")
@@ -152,13 +155,25 @@ def hashed_runs(docs: DataFrame, run: int, min_words: int, long: int, key: str,
     return rows.mapInPandas(cut_up, "doc long, rank long, hash long, start int, end int, again boolean")
 
 
+def _common_hashes(firsts: DataFrame) -> DataFrame:
+    """At most COMMON hashes that hold a large share of all rows, as one row in 32 documents tells. This says which way a hash goes, and changes no result."""
+    some = firsts.where(F.pmod(F.xxhash64(F.lit(9), "doc"), F.lit(32)) == 0).groupBy("hash").agg(F.count("*").alias("n"))
+    some = stage(some.where("n > 1"), "spans-common")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    return some.where(F.col("n") > max(16, total // COMMON)).select("hash")
+
+
 def repeated_spans(docs: DataFrame, *, run: int = RUN, min_words: int = MIN_WORDS, long: int = LONG, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, spans): the disjoint [start, end) spans to remove from each document that has any."""
     rows = stage(hashed_runs(docs, run, min_words, long, key, text), "spans-runs")
     firsts = rows.where("not again")
     # one shuffle: a hash has one row for each batch at most, and all but the least place are repeats
     place = F.struct("rank", "doc", "start")
-    later = firsts.withColumn("least", F.min(place).over(Window.partitionBy("hash"))).where(place > F.col("least"))
+    hot = F.broadcast(_common_hashes(firsts))
+    cold = firsts.join(hot, "hash", "left_anti").withColumn("least", F.min(place).over(Window.partitionBy("hash"))).where(place > F.col("least"))
+    warm = firsts.join(hot, "hash")  # of a hash that is everywhere only the least places of tasks meet
+    warm = warm.join(F.broadcast(warm.groupBy("hash").agg(F.min(place).alias("least"))), "hash").where(place > F.col("least"))
+    later = cold.unionByName(warm.select(cold.columns))
     # a later place in one batch is later in all, as each batch knows an earlier one
     covered = rows.where("again").select("doc", "start", "end").unionByName(later.select("doc", "start", "end"))
     # a run inside another adds nothing; without such, runs start and end in the same order
