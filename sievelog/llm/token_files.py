@@ -134,7 +134,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, shard_doc
         yield pd.DataFrame({"number": [number], "name": [name], "docs": [len(whole)], "ids": [n_ids]})
 
     n = max(1, -(-total // shard_docs))
-    made = pressed.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "ids", "data").mapInPandas(shards, "number int, name string, docs long, ids long")
+    # rows that repeat a key are told apart by their place in what was staged, so many of them fill several shards
+    order = [F.col("key").asc_nulls_first(), F.col("ids"), F.col("place")]
+    placed = pressed.withColumn("place", F.monotonically_increasing_id())
+    made = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "ids", "data").mapInPandas(shards, "number int, name string, docs long, ids long")
     files = sorted((r.asDict() for r in made.collect()), key=lambda s: s["number"]) if total else []  # one row a shard
     manifest = {"dictionary_sha256": digest.hex(), "end_id": end_id, "shards": files}
     with fs.open_output_stream(f"{base}/manifest.json") as f:
@@ -190,14 +193,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(path: str, shard: str, place: int) -> np.ndarray:
-    """The ids of one document of a shard: its index entry and its own bytes are all that is read."""
+    """The ids of one document of a shard: footer, its index entry and the one before, and its own bytes are all that is read."""
     fs, base = _place(path)
     with fs.open_input_stream(f"{base}/dictionary.zdict") as f:
         dictionary = f.read()
-    f, index = _opened(fs, f"{base}/{shard}", hashlib.sha256(dictionary).digest())
-    begin = int(index["end"][place - 1]) if place else 0
-    data = f.read_at(int(index["end"][place]) - begin, len(MAGIC) + 32 + begin)
-    return np.frombuffer(zstandard.ZstdDecompressor(**_codec(dictionary)).decompress(data), "<u4")
+    with fs.open_input_file(f"{base}/{shard}") as f:
+        tail = struct.calcsize(FOOTER)
+        index_at, docs, _, _, magic = struct.unpack(FOOTER, f.read_at(tail, f.size() - tail))
+        if magic != MAGIC or f.read_at(len(MAGIC) + 32, 0) != MAGIC + hashlib.sha256(dictionary).digest():
+            raise ValueError(f"{shard} is damaged, or made with another dictionary")
+        if not 0 <= place < docs:
+            raise IndexError(place)
+        first = max(0, place - 1)
+        entries = np.frombuffer(f.read_at((place + 1 - first) * INDEX.itemsize, index_at + first * INDEX.itemsize), INDEX)
+        begin = int(entries["end"][0]) if place else 0
+        data = f.read_at(int(entries["end"][-1]) - begin, len(MAGIC) + 32 + begin)
+    ids = np.frombuffer(zstandard.ZstdDecompressor(**_codec(dictionary)).decompress(data), "<u4")
+    if len(ids) != entries["ids"][-1]:
+        raise ValueError(f"{shard}, document {place}: {len(ids)} ids")
+    return ids
 
 
 def checked(df: DataFrame) -> DataFrame:

@@ -117,12 +117,29 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(held)
     assert len(manifest["shards"]) > 2 and at == sum(s["ids"] for s in manifest["shards"])
     assert token_files.read_document(path, manifest["shards"][0]["name"], 0).tolist() == [2]
+    by_start = {start: held for _, start, held in got}
+    at = 0
+    for shard in manifest["shards"]:
+        for place in range(shard["docs"]):
+            held = token_files.read_document(path, shard["name"], place).tolist()
+            assert held == by_start[at]
+            at += len(held)
+    with pytest.raises(IndexError):
+        token_files.read_document(path, manifest["shards"][0]["name"], manifest["shards"][0]["docs"])
     raw = tmp_path / "out" / manifest["shards"][1]["name"]
     raw.write_bytes(raw.read_bytes()[:-40] + b"\0" * 40)
     with pytest.raises(Exception, match="damaged|unpack"):
         token_files.read(spark, path).collect()
 
 
+def test_token_files_of_one_key(spark, tmp_path):
+    """Rows that all have one key, or none, fill shards of like size."""
+    df = spark.createDataFrame([(7 if i % 2 else None, f"text {i % 5}") for i in range(200)], "doc_id long, text string")
+    manifest = token_files.write(df, str(tmp_path / "out"), WORD, end_id=2, shard_docs=20)
+    assert sum(s["docs"] for s in manifest["shards"]) == 200 and max(s["docs"] for s in manifest["shards"]) <= 60
+    assert token_files.read(spark, str(tmp_path / "out")).groupBy("key").count().count() == 2
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     assert token_files.write(docs_of(spark, []), str(tmp_path / "none"), WORD, end_id=2)["shards"] == []
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
