@@ -27,11 +27,11 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Rows on which costs and rejections are measured.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_000
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def _covered(words: Column, width: int) -> Column:
@@ -57,7 +57,7 @@ def measures(text: Column, width: int = WINDOW) -> Column:
 
     def whole(w: Column) -> Column:
         return bind(lines, lambda n: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.size(n).cast("long").alias("n_lines"),
             (F.size(n) - F.size(F.array_distinct(n))).cast("long").alias("n_dup_lines"), _covered(w, width).cast("long").alias("n_repeat_words"),
         ))
@@ -94,7 +94,7 @@ BASE_RULES = (
     Rule("base_repeats", lambda m, t: 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]),
 )
 #: How often a rule is evaluated on each row of the sample to tell its cost.
-REPEATS = 10
+REPEATS = 2
 
 
 def lazy_measures(text: Column, width: int = WINDOW) -> dict[str, Column]:
