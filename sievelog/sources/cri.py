@@ -73,10 +73,14 @@ def fold(parsed: DataFrame, file_keys: list[str], by_stream: bool = False) -> Da
 def body_of(message: Column, stream: Column) -> Column:
     """The JSON object a message is, or {stream: message}. The whole message must be one object: the parser alone would take what follows it."""
     configure(SparkSession.active())
-    text = F.when(message.rlike(r"^[\{\s\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), trimmed(message))
-    # in brackets, what follows an object is an error or a second element
-    boxed = F.when(text.startswith("{"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    obj = bound(boxed, lambda b: F.when(F.variant_get(b, "$[1]", "variant").isNull(), F.variant_get(b, "$[0]", "variant")))
+
+    def parsed(m: Column) -> Column:
+        text = F.when(m.startswith("{") & m.endswith("}"), m).otherwise(trimmed(m))
+        # in brackets, what follows an object is an error or a second element
+        boxed = bound(text, lambda t: F.when(t.startswith("{"), F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))))
+        return bound(boxed, lambda b: F.when(F.variant_get(b, "$[1]", "variant").isNull(), F.variant_get(b, "$[0]", "variant")))
+
+    obj = bound(message, lambda m: F.when(m.rlike(r"^[\{\s\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), parsed(m)))
     name = F.when(stream.isin("stdout", "stderr"), stream).otherwise(F.lit("stdout"))
     plain = F.parse_json(F.to_json(F.map_from_arrays(F.array(name), F.array(F.coalesce(message, F.lit(""))))))
     return F.coalesce(obj, plain)
