@@ -157,6 +157,7 @@ def label_model(votes: np.ndarray, y: np.ndarray, kinds: int = KINDS, rounds: in
     r[:, kinds] = 1
     r[some, kinds] = 0
     r[some, (far @ middle.T).argmax(axis=1)] = 1
+    del far
     base = (v.sum(axis=0) + 0.01) / (n + 1)
     for _ in range(rounds):
         mass = r.sum(axis=0, dtype=np.float64)
@@ -246,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: dict | None = None, kinds:
             yield pd.DataFrame({"key": pdf["key"], "y": pdf["y"].fillna(-1).astype("int32"), "hits": [np.array(sorted(place[f] for f in model.hits(t)), np.int32) for t in pdf["text"]]})
 
     ballots = train.mapInPandas(vote, f"key {kind}, y int, hits array<int>").orderBy("key", "y", "hits").toPandas()  # a bounded sample
-    votes = np.zeros((len(ballots), len(voters)), np.float32)
+    votes = np.zeros((len(ballots), len(voters)), np.uint8)
     for i, hit in enumerate(ballots["hits"]):
         votes[i, hit] = 1
     # voters that fire on the same rows are one, and share its weight
@@ -257,8 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: dict | None = None, kinds:
     if not alike:
         return fallback
     groups = sorted(alike.values())
-    votes = votes[:, [g[0] for g in groups]]
     y = ballots["y"].to_numpy(np.int64)
+    del ballots
+    votes = votes[:, [g[0] for g in groups]].astype(np.float32)
     posterior, found = label_model(votes, y, kinds)
     if not (found["kinds"] > 0.5).any():
         return fallback
