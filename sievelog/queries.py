@@ -435,22 +435,26 @@ def stream_store(spark, d):
     rows = logs(spark, d).withColumns({"arrival": F.col("event_id"), "source_key": F.col("source_key").cast("string")}).drop("body", "_labels", "_annotations")
     store = LogStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     last = F.col("event_id") % 10 == 9
-    path, first = _stream_of(spark, d, rows.where(~last & (F.col("source_key") > "5")), "streamed")
-    stored(first.drop("arrival"), store, f"{path}/one").awaitTermination()
+    into = lambda path, stream: stored(stream.drop("arrival"), store, f"{path}/checkpoint").awaitTermination()
+    _arriving(spark, d, rows.where(~last & (F.col("source_key") > "5")), "streamed", into)
     store.write(rows.where(~last & (F.col("source_key") <= "5")).drop("arrival"), files=2)
-    again, second = _stream_of(spark, d, rows.where(~last), "streamed")
-    stored(second.drop("arrival"), store, f"{again}/two").awaitTermination()
+    _arriving(spark, d, rows.where(~last), "streamed", into)
     late = store.records().unionByName(rows.where(last).drop("arrival"), allowMissingColumns=True)
     return late.select(*_SHOWN)
 
 
-def _stream_of(spark: SparkSession, d: str, rows: DataFrame, name: str) -> DataFrame:
-    """rows as a stream of two files in the shared folder, written one after the other in order of arrival."""
+def _arriving(spark: SparkSession, d: str, rows: DataFrame, name: str, run) -> str:
+    """Writes rows to a folder in the shared one in two steps by order of arrival, with run(folder, stream of it) after each; returns the folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     middle = rows.agg(F.percentile_approx("arrival", 0.5)).first()[0]
     for part in (rows.where(F.col("arrival") <= middle), rows.where(F.col("arrival") > middle)):
         part.write.mode("append").parquet(f"{path}/in")
-    return path, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        run(path, spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    return path
+
+
+def _kept(stream: DataFrame, path: str) -> None:
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 @_query("stream_dedup", "select event_id, source_key, \"offset\" from logs")
@@ -458,8 +462,7 @@ def stream_dedup(spark, d):
     from .streaming.follow import accepted
 
     rows = _redelivered(logs(spark, d)).select("event_id", "source_key", "offset", "arrival")
-    path, stream = _stream_of(spark, d, rows, "dedup")
-    accepted(stream).drop("arrival").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    path = _arriving(spark, d, rows, "dedup", lambda path, stream: _kept(accepted(stream).drop("arrival"), path))
     return spark.read.parquet(f"{path}/out")
 
 
@@ -468,10 +471,8 @@ def stream_follow(spark, d):
     from .streaming.follow import follow
 
     rows = logs(spark, d).select("event_id", "_container", "_ts_nanos", F.col("event_id").alias("arrival"))
-    path, _ = _stream_of(spark, d, rows, "follow")
-    live = follow(spark, f"{path}/in", '_container = "error"', START)
-    live.select("event_id", "_container").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    live = lambda path, _: _kept(follow(spark, f"{path}/in", '_container = "error"', START).select("event_id", "_container"), path)
+    return spark.read.parquet(f"{_arriving(spark, d, rows, 'follow', live)}/out")
 
 
 def queries() -> dict:
