@@ -6,11 +6,11 @@ coordinates tell much of a distance. Lists are the cells of centroids fitted on
 a bounded sample; every row is indexed. Inside each probed list, distances grow
 column block by column block; after each block a hypothesis test abandons the
 pairs whose partial distance says that they end beyond the query's bound. The
-bound is first the query's k-th distance within a bounded sample; the nearest
+bound is first the query's k-th distance within a few sampled rows; the nearest
 list is scanned with it, which tightens it to the k-th distance found there, and
 then the other probed lists. Scores of what is left are computed in double
 precision from the original vectors. A query that finds fewer than k rows in its
-lists is filled up from the sample.
+lists is filled up from those rows.
 
 Lists are cut into blocks, and the queries of a list into chunks, by their
 counts: a task holds one block and streams its queries.
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import least_hashed, stage
 
-#: Rows on which centroids, bounds and the number of probes are fitted.
+#: Rows on which centroids and the number of probes are fitted.
 SAMPLE_ROWS = 65_536
+#: Rows of those that give a query its first bound, and fill up a short answer.
+BOUND_ROWS = 4_096
 MAX_LISTS = 4_096
 #: Share of true neighbours, measured on the sample, that the probed lists shall hold.
 TARGET_RECALL = 0.97
@@ -110,7 +112,8 @@ def fit(rows: DataFrame, k: int, seed: int = 3, sample_rows: int = SAMPLE_ROWS,
     rank = np.argsort(np.argsort(_distances(q, centroids), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(rank, of[near], axis=1).ravel())
     probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
-    return Index(rotation, float(top), centroids, min(lists, probes), ids, x)
+    some = order[:BOUND_ROWS]
+    return Index(rotation, float(top), centroids, min(lists, probes), ids[some], x[some])
 
 
 def _best(ids: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
@@ -146,7 +149,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, key: str = "ve
     index = fit(rows.select("id", "v"), k, seed, sample_rows, target)
     if index is None:
         return spark.createDataFrame([], out)
-    sent = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and sample_rows vectors
+    sent = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and BOUND_ROWS vectors
     kind = dict(rows.dtypes)["v"]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

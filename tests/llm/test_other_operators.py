@@ -176,6 +176,7 @@ def test_neighbours_recall_scores_and_ties(spark):
 
 def test_neighbours_found_by_lists_alone(spark, monkeypatch):
     """Recall over many more rows than the sample holds; without what fills up short answers."""
+    monkeypatch.setattr(neighbours, "BOUND_ROWS", 200)
     x = vectors(20_000, 16, seed=2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10, sample_rows=2000).collect()
