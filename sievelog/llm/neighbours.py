@@ -233,7 +233,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, key: str = "ve
     reached = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     tight = F.least("bound", F.greatest(F.lit(0.0), length + F.lit(index.top) ** 2 - 2 * F.col("reached")))
-    more = asked.join(reached, "id", "left").withColumn("bound", F.coalesce(tight, "bound")).select("id", "v", "bound", F.explode(F.slice("lists", 2, max(1, index.probes))).alias("list"))
+    more = asked.join(reached, "id", "left").withColumn("bound", F.when(F.col("reached").isNotNull(), tight).otherwise(F.col("bound"))).select("id", "v", "bound", F.explode(F.slice("lists", 2, max(1, index.probes))).alias("list"))
     found = first.unionByName(cells(stage(more, "neighbours-probes"))).withColumn("fill", F.lit(0))
     sampled = asked.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "near_score")).alias("x")).select("query_id", F.col("x.near").alias("id"), F.col("x.near_score").alias("score"), F.lit(1).alias("fill"))
     both = found.unionByName(sampled).groupBy("query_id", "id").agg(F.max("score").alias("score"), F.min("fill").alias("fill"))

@@ -174,10 +174,12 @@ def test_neighbours_recall_scores_and_ties(spark):
     assert hits / 20 / len(by) >= 0.9
 
 
-def test_neighbours_found_by_lists_alone(spark, monkeypatch):
-    """Recall over many more rows than the sample holds; without what fills up short answers."""
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_found_by_lists_alone(spark, monkeypatch, clustered):
+    """Recall over many more rows than the sample holds, in clusters and on a sphere without any."""
     monkeypatch.setattr(neighbours, "BOUND_ROWS", 200)
-    x = vectors(20_000, 16, seed=2)
+    x = vectors(20_000, 16, seed=2) if clustered else np.random.default_rng(4).standard_normal((20_000, 32)).astype(np.float32)
+    x = x if clustered else x / np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10, sample_rows=2000).collect()
     s = x[::100].astype(np.float64) @ x.astype(np.float64).T
