@@ -30,7 +30,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: A card or an international number among other digits, where the base patterns see one long match and drop it.
 CARD_AMONG = r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])"
-PHONE_AMONG = r"\+[0-9](?:[().\x20-]{0,2}[0-9]){7,14}(?![0-9])"
+PHONE_AMONG = r"\+[0-9](?:[()\x20-]{0,2}[0-9]){7,14}(?![0-9]|\.[0-9])"
 LOCAL_PHONE = r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 
 BASE = ("email", "ip", "card", "phone")
